@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from kelpie.llm import near_dup
+from kelpie.llm import mixing, near_dup
 
 
 def queries() -> dict:
-    return {"op1_superminhash": near_dup.op1_superminhash}
+    return {
+        "op1_superminhash": near_dup.op1_superminhash,
+        "op7_source_mix": mixing.op7_source_mix,
+    }
 
 
 def oracle_sql() -> dict:
