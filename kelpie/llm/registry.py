@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from kelpie.llm import mixing, near_dup
+from kelpie.llm import media, mixing, near_dup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_superminhash": near_dup.op1_superminhash,
+        "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
+        "op9_url_trie": url_filter.op9_url_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_url_trie": url_filter.OP9_SQL}
