@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kelpie.llm import language_id, media, mixing, near_dup, url_filter
+from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_superminhash": near_dup.op1_superminhash,
+        "op2_backoff_automaton": ngram_lm.op2_backoff_automaton,
         "op3_compression_language": language_id.op3_compression_language,
         "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
