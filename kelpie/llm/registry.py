@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, url_filter
+from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, quality_cnn, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_url_trie": url_filter.op9_url_trie,
+        "op10_byte_cnn": quality_cnn.op10_byte_cnn,
     }
 
 

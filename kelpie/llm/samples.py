@@ -11,26 +11,44 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def sample_by_label(rows: DataFrame, label: str, wanted: int, piece: int, seed: int = 5) -> dict:
-    """{label: [text, ...]}: at most ``wanted`` distinct texts of each label, cut to ``piece`` characters.
+def below_threshold(rows: DataFrame, label: str, wanted: int, seed: int) -> Column | None:
+    """Keeps all rows of a label of up to ``2 * wanted``, else about so many, by a hash of ``id``.
 
-    ``rows`` has id, text and the label column. Only the labels' counts and about twice the
-    wanted rows of each come to the driver, whatever the size of the table: rows are taken by a
-    hash of their id below a threshold that follows from the count, lowest hash first. Rows with a
-    null label or text are left out. Labels are few: the caller's classes.
+    Only the labels' counts come to the driver; None if there are no labelled rows.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return {}
-    rank = F.xxhash64(F.lit(seed), "id")
-    below = F.lit(False)
-    for value, n in counts.items():
+    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    rank, below = rank_of(seed), F.lit(False)
+    for value, n in sorted(counts.items()):
         most = (1 << 63) - 1 if n <= 2 * wanted else int(((2 * wanted / n) - 0.5) * 2.0**64)
         most = max(-(1 << 63), min((1 << 63) - 1, most))
         below |= (F.col(label) == F.lit(value)) & (rank <= F.lit(most))
-    taken = rows.where(below).select(label, rank.alias("rank"), F.substring("text", 1, piece).alias("text")).collect()
-    out: dict = {value: [] for value in sorted(counts)}
+    return below if counts else None
+
+
+def rank_of(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "id")
+
+
+def sample_by_label(
+    rows: DataFrame, label: str, wanted: int, piece: int, seed: int = 5, texts: DataFrame | None = None
+) -> dict:
+    """{label: [text, ...]}: at most ``wanted`` distinct texts of each label, cut to ``piece`` characters.
+
+    ``rows`` has id, the label column and text, or its texts are in ``texts`` (id, text); then the
+    chosen rows, about twice the wanted ones of each label, are joined to it. No more come to the
+    driver, whatever the size of the tables; the lowest hashes are taken first. Rows with a null
+    label or text are left out. Labels are the caller's few classes.
+    """
+    if texts is None:
+        rows = rows.where(F.col("text").isNotNull())
+    chosen = below_threshold(rows, label, wanted, seed)
+    if chosen is None:
+        return {}
+    taken = rows.where(F.col(label).isNotNull() & chosen)
+    if texts is not None:
+        taken = texts.where(F.col("text").isNotNull()).join(F.broadcast(taken.select("id", label).distinct()), "id")
+    taken = taken.select(label, rank_of(seed).alias("rank"), F.substring("text", 1, piece).alias("text")).collect()
+    out: dict = {value: [] for value in sorted({r[label] for r in taken})}
     seen = set()
     for r in sorted(taken, key=lambda r: (r["rank"], r["text"])):
         key = (r[label], r["text"])
