@@ -9,10 +9,11 @@
 4. Pairs whose signatures leave the threshold possible are verified on the full sets, and
    confirmed links are grouped by star contraction.
 5. Buckets that still hold several components may hide links between them. Their members are
-   packed in blocks, blocks are compared by signature within the bucket, and only pairs of
-   different components that may reach the threshold are verified too; then the links of both
-   rounds are grouped. So a link is lost only if no band or the signature estimate shows it:
-   the number of bands is set so that this has a chance under ``MISS`` at the threshold itself.
+   packed in blocks, and blocks are compared by signature within the bucket. A member that may
+   be linked with a larger component asks for the blocks of that component, and is compared there
+   with the full sets of the whole block. So rows are made for members and blocks, not for
+   pairs, and a link is lost only if no band or the signature estimate shows it: the number of
+   bands is set so that this has a chance under ``MISS`` at the threshold itself.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ ROWS = 4
 MISS = 1e-5
 #: A pair is verified if its estimated similarity is at most so many standard errors too low.
 ERRORS = 6
-#: Members to a block where a bucket of several components is compared within itself.
-BLOCK = 256
+#: Members to a block of a bucket or component, and members that ask for a block, at a time.
+BLOCK, ASKING = 256, 1024
 _FRACTION = U(40)
 
 
@@ -178,45 +179,66 @@ def _estimated(percent: int, m: int):
     return run
 
 
-def _blocks(percent: int, m: int):
-    """Pairs (a > b) of different components from rows of two blocks of a bucket's members."""
+def _asks(percent: int, m: int):
+    """(y, root, blk): members and the blocks of larger components that they may be linked with.
+
+    Input: rows of two cells, each the members of a block of a bucket.
+    """
     least = math.ceil(_possible(percent, m) * m)
 
     def arrays(cell):
-        ids = np.array([x["id"] for x in cell], np.int64)
-        roots = np.array([x["root"] for x in cell], np.int64)
-        sizes = np.array([x["n"] for x in cell], np.int64)
-        sigs = np.frombuffer(b"".join(x["sig"] for x in cell), np.uint8).reshape(-1, m)
-        return ids, roots, sizes, sigs
+        numbers = [np.array([x[c] for x in cell], np.int64) for c in ("id", "root", "csize", "blk", "n")]
+        return *numbers, np.frombuffer(b"".join(x["sig"] for x in cell), np.uint8).reshape(-1, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[np.ndarray] = []
             for left, right in zip(K.column(batch, "left"), K.column(batch, "right"), strict=True):
                 a, b = arrays(left.as_py()), arrays(right.as_py())
+                found = []
                 for i in range(len(a[0])):
-                    ok = np.flatnonzero((b[1] != a[1][i]) & (100 * np.minimum(b[2], a[2][i]) >= percent * np.maximum(b[2], a[2][i])))
+                    ok = np.flatnonzero((b[1] != a[1][i]) & (100 * np.minimum(b[4], a[4][i]) >= percent * np.maximum(b[4], a[4][i])))
                     if len(ok):
-                        ok = ok[(b[3][ok] == a[3][i]).sum(axis=1) >= least]
+                        ok = ok[(b[5][ok] == a[5][i]).sum(axis=1) >= least]
                     if len(ok):
-                        x, y = b[0][ok], np.full(len(ok), a[0][i])
-                        out.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
-            found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                        here = [np.full(len(ok), c[i]) for c in a[:4]]
+                        there = [c[ok] for c in b[:4]]
+                        larger = (here[2] > there[2]) | ((here[2] == there[2]) & (here[1] < there[1]))
+                        x = [np.where(larger, h, t) for h, t in zip(here, there, strict=True)]
+                        found.append(np.unique(np.stack([np.where(larger, there[0], here[0]), x[1], x[3]]), axis=1))
+                if found:
+                    out.append(np.unique(np.concatenate(found, axis=1), axis=1))
+            rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["y", "root", "blk"])
 
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that the full shingle sets of their documents link."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"))
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(
-        sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"
-    )
-    out = cut(joined.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long").distinct())
-    drop(sets)
-    return out
+def _meet(percent: int):
+    """Each asking member's first link (a: it, b: a member of the block) by the full sets."""
+
+    def sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        return K.column(table, "id").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in K.column(table, "set")]
+
+    def run(key: tuple[pa.Scalar, ...], asking: pa.Table, block: pa.Table) -> pa.Table:
+        ids, held = sets(block)
+        sizes = np.array([len(x) for x in held], np.int64)
+        everything = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(everything, kind="stable")
+        everything, owner = everything[order], owner[order]
+        out = []
+        for y, mine in zip(*sets(asking), strict=True):
+            lo, hi = np.searchsorted(everything, mine, "left"), np.searchsorted(everything, mine, "right")
+            count = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            shared = np.bincount(owner[at], minlength=len(held))
+            linked = np.flatnonzero((100 * shared >= percent * (sizes + len(mine) - shared)) & (shared > 0))
+            if len(linked):
+                out.append((y, ids[linked[0]]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
 
 
 def near_duplicates(
@@ -226,32 +248,31 @@ def near_duplicates(
 
     Texts are linked if 100 * |A n B| >= percent * |A u B| for their sets of distinct
     ``words``-word shingles; a text of fewer words is one shingle, a null or wordless text has an
-    empty set and is linked with nothing. Rows that share an id are one node, whose links are
-    pooled; a row whose id is null belongs to no group (component_id null, kept). Other columns
-    of ``docs`` are not read.
+    empty set and is linked with nothing. Ids are meant to be unique: rows that share one have a
+    row each, and a link of one may count for the others. A row whose id is null belongs to no
+    group (component_id null, kept). Other columns of ``docs`` are not read; an empty table gives
+    no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bands = bands_for(percent)
     m = bands * ROWS
     sketch = cut(docs.mapInArrow(_sketch(words, bands), SKETCH))
+    same = ["n_shingles", "fp1", "fp2"]
     reps = cut(
         sketch.where("n_shingles > 0 and id is not null")
-        .groupBy("n_shingles", "fp1", "fp2")
+        .groupBy(*same)
         .agg(F.min(F.struct("id", "sig", "bands")).alias("x"))
-        .select(F.col("x.id").alias("rep"), "n_shingles", "fp1", "fp2", "x.sig", "x.bands")
-    )
-    classes = (
-        sketch.where("n_shingles > 0 and id is not null")
-        .select("id", "n_shingles", "fp1", "fp2")
-        .join(reps.select("n_shingles", "fp1", "fp2", "rep"), ["n_shingles", "fp1", "fp2"])
-        .where("id <> rep")
-        .select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        .distinct()
+        .select(F.col("x.id").alias("rep"), *same, "x.sig", "x.bands")
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(buckets, "key").select("key", "rep", "centre", "n"))
     sigs = reps.select("rep", "n_shingles", "sig")
+
+    # The same plan at every size: a broadcast of the ids would not hold for a large table.
+    wanted = members.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash")
+    sets = cut(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"))
+
     stars = (
         members.where("rep <> centre")
         .select(F.col("rep").alias("a"), F.col("centre").alias("b"))
@@ -260,40 +281,58 @@ def near_duplicates(
         .join(sigs.toDF("b", "nb", "sb"), "b")
         .select("a", "b", "na", "nb", "sa", "sb")
     )
-    stars = cut(stars.mapInArrow(_estimated(percent, m), "a long, b long").distinct())
-    links = _verified(docs, stars, words, percent)
+    stars = stars.mapInArrow(_estimated(percent, m), "a long, b long")
+    stars = stars.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
+    links = cut(stars.mapInArrow(_linked(percent), "a long, b long").distinct())
     roots = components(links)
 
-    rooted = (
-        members.select("key", "rep", "n")
-        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .withColumn("root", F.coalesce("root", "rep"))
-    )
+    sizes = roots.groupBy("root").agg(F.count("*").alias("csize"))
+    homes = (
+        members.select("rep").distinct()
+        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(sizes, "root", "left")
+        .select("rep", F.coalesce("root", "rep").alias("root"), F.coalesce("csize", F.lit(1)).alias("csize"))
+    )
+    homes = cut(homes.withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("csize") / BLOCK))))
+    rooted = members.select("key", "rep", "n").join(homes, "rep")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    member = F.struct(F.col("rep").alias("id"), "root", F.col("n_shingles").alias("n"), "sig")
+    member = F.struct(F.col("rep").alias("id"), "root", "csize", "blk", F.col("n_shingles").alias("n"), "sig")
     packed = cut(
         rooted.join(mixed, "key")
         .join(sigs, "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+        .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("n") / BLOCK)))
         .groupBy("key", "block")
         .agg(F.collect_list(member).alias("cell"))
     )
     met = packed.select("key", "block", F.col("cell").alias("left")).join(
         packed.select("key", F.col("block").alias("other"), F.col("cell").alias("right")), "key"
     )
-    rest = met.where("block <= other").select("left", "right").mapInArrow(_blocks(percent, m), "a long, b long").distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    more = _verified(docs, rest, words, percent)
-    roots = components(links.unionByName(more).unionByName(classes))
+    asks = cut(met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, root long, blk long").distinct())
+    place = ["root", "blk", "chunk"]
+    loads = asks.groupBy("root", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks"))
+    asking = (
+        asks.join(loads, ["root", "blk"])
+        .select(F.col("y").alias("id"), "root", "blk", F.pmod(F.xxhash64("y"), "chunks").alias("chunk"))
+        .join(sets, "id")
+    )
+    blocks = (
+        homes.select(F.col("rep").alias("id"), "root", "blk")
+        .join(loads, ["root", "blk"])
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("id", *place)
+        .join(sets, "id")
+    )
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("id", *place, "set")])  # noqa: E731  both sides hold columns of ``sets``
+    asking, blocks = fresh(asking), fresh(blocks)
+    more = cut(asking.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(_meet(percent), "a long, b long"))
+    roots = components(links.unionByName(more))
+    drop(members, sets, packed, asks, homes)
     return (
-        sketch.select("id", "n_shingles")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select(
-            F.col("id").alias(id_col),
-            "n_shingles",
-            F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
-            F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"),
-        )
+        sketch.select("id", *same)
+        .join(reps.select(*same, "rep"), same, "left")
+        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")))
+        .select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
     )
 
 
