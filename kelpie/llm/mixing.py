@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.scratch import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Each source's documents are ordered within so many parts, so that no task orders a whole source.
 PARTS = 256
@@ -136,7 +138,9 @@ def mixture(
     """
     size = words_in(F.col("text")) if size is None else size
     sized = docs.select("doc_id", "source", *carry, size.cast("long").alias("size"))
-    sources = source_targets(docs.select("source", size.cast("long").alias("size")), weights, share, most, block)
+    if not carry:
+        sized = cut(sized)  # three plans read the sizes; the texts are read once
+    sources = source_targets(sized.select("source", "size"), weights, share, most, block)
     at = placed(sized, sources, seed)
     last = F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     first = F.floor(F.col("start") / block).cast("long")
@@ -148,7 +152,8 @@ def mixture(
             "n_words": F.least(F.col("start") + F.col("size"), F.col("block") * block + block) - begin,
         }
     )
-    return pieces.join(slots(sources, shard, seed), ["sid", "block"], "left")
+    # Both sides come out of explode(), whose output the planner takes for small: never a broadcast.
+    return pieces.join(slots(sources, shard, seed).hint("merge"), ["sid", "block"], "left")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
