@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, quality_cnn, url_filter
+from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, pii, quality_cnn, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_superminhash": near_dup.op1_superminhash,
         "op2_backoff_automaton": ngram_lm.op2_backoff_automaton,
         "op3_compression_language": language_id.op3_compression_language,
+        "op4_pii_boosted": pii.op4_pii_boosted,
         "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_url_trie": url_filter.op9_url_trie,
