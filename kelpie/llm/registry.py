@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpie.llm import language_id, media, mixing, near_dup, ngram_lm, pii, quality_cnn, url_filter
+from kelpie.llm import kd_search, language_id, media, mixing, near_dup, ngram_lm, pii, quality_cnn, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_backoff_automaton": ngram_lm.op2_backoff_automaton,
         "op3_compression_language": language_id.op3_compression_language,
         "op4_pii_boosted": pii.op4_pii_boosted,
+        "op5_kd_top5": kd_search.op5_kd_top5,
         "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_url_trie": url_filter.op9_url_trie,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_url_trie": url_filter.OP9_SQL}
+    return {"op5_kd_top5": kd_search.OP5_SQL, "op9_url_trie": url_filter.OP9_SQL}
