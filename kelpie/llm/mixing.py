@@ -138,7 +138,7 @@ def mixture(
     """
     size = words_in(F.col("text")) if size is None else size
     sized = docs.select("doc_id", "source", *carry, size.cast("long").alias("size"))
-    if not carry:
+    if "text" in docs.columns:
         sized = cut(sized)  # three plans read the sizes; the texts are read once
     sources = source_targets(sized.select("source", "size"), weights, share, most, block)
     at = placed(sized, sources, seed)
@@ -156,6 +156,34 @@ def mixture(
     return pieces.join(slots(sources, shard, seed).hint("merge"), ["sid", "block"], "left")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for each document and epoch that reads any of its blocks.
+
+    Columns are those of ``docs`` (doc_id, text, source and others, n_chars recomputed if there);
+    text has the blocks read in that epoch, in order, with the white space after each word.
+    Texts cross the network once: rows are matched by id and a hash of source and text, and
+    repeated rows by their number. Documents that no slot reads are not in the mix.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("source", "text").alias("k2")]
+    sized = cut(docs.select("doc_id", "source", *key, words_in(F.col("text")).alias("size")))
+    rows = mixture(sized, size=F.col("size"), carry=("k1", "k2"), **options).where("epoch is not null")
+    read = rows.groupBy("k1", "k2", "sid", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
+    read = read.withColumn("copy", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start"))).toDF(
+        "r1", "r2", "sid", "start", "epoch", "pieces", "copy"
+    )
+    texts = docs.select(*docs.columns, *key)
+    texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
+    # As a difference, so that the copies' numbers are no join key and the window's exchange serves.
+    same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("number") - F.col("copy") == 0)
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = lambda p: F.array_join(F.slice(F.col("words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
+    out = texts.join(read.hint("merge"), same).withColumn("words", words)
+    out = out.withColumn("text", F.array_join(F.transform("pieces", part), ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     """All of ``documents``: what the mix takes of each."""
     rows = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpie.llm import kd_search, language_id, media, mixing, near_dup, ngram_lm, pii, quality_cnn, url_filter
+from kelpie.llm import kd_search, language_id, media, mixing, near_dup, ngram_lm, packing, pii, quality_cnn, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_kd_top5": kd_search.op5_kd_top5,
         "op6_media_sniff": media.op6_media_sniff,
         "op7_source_mix": mixing.op7_source_mix,
+        "op8_best_fit": packing.op8_best_fit,
         "op9_url_trie": url_filter.op9_url_trie,
         "op10_byte_cnn": quality_cnn.op10_byte_cnn,
     }
