@@ -10,9 +10,9 @@
    confirmed links are grouped by star contraction.
 5. Buckets that still hold several components may hide links between them. Their members are
    packed in blocks, and blocks are compared by signature within the bucket. A member that may
-   be linked with a larger component asks for the blocks of that component, and is compared there
-   with the full sets of the whole block. So rows are made for members and blocks, not for
-   pairs, and a link is lost only if no band or the signature estimate shows it: the number of
+   be linked with one of another component asks for that member's home block (of its component, if
+   large, else of its surroundings) and is compared there with the full sets of the whole block.
+   So rows are made for members and blocks, not for pairs, and a link is lost only if no band or the signature estimate shows it: the number of
    bands is set so that this has a chance under ``MISS`` at the threshold itself.
 """
 
@@ -180,14 +180,16 @@ def _estimated(percent: int, m: int):
 
 
 def _asks(percent: int, m: int):
-    """(y, root, blk): members and the blocks of larger components that they may be linked with.
+    """(y, anchor, blk): members and the blocks of other components that they may be linked with.
+
+    Of two components the smaller asks.
 
     Input: rows of two cells, each the members of a block of a bucket.
     """
     least = math.ceil(_possible(percent, m) * m)
 
     def arrays(cell):
-        numbers = [np.array([x[c] for x in cell], np.int64) for c in ("id", "root", "csize", "blk", "n")]
+        numbers = [np.array([x[c] for x in cell], np.int64) for c in ("id", "root", "csize", "anchor", "blk", "n")]
         return *numbers, np.frombuffer(b"".join(x["sig"] for x in cell), np.uint8).reshape(-1, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,45 +199,55 @@ def _asks(percent: int, m: int):
                 a, b = arrays(left.as_py()), arrays(right.as_py())
                 found = []
                 for i in range(len(a[0])):
-                    ok = np.flatnonzero((b[1] != a[1][i]) & (100 * np.minimum(b[4], a[4][i]) >= percent * np.maximum(b[4], a[4][i])))
+                    ok = np.flatnonzero((b[1] != a[1][i]) & (100 * np.minimum(b[5], a[5][i]) >= percent * np.maximum(b[5], a[5][i])))
                     if len(ok):
-                        ok = ok[(b[5][ok] == a[5][i]).sum(axis=1) >= least]
+                        ok = ok[(b[6][ok] == a[6][i]).sum(axis=1) >= least]
                     if len(ok):
-                        here = [np.full(len(ok), c[i]) for c in a[:4]]
-                        there = [c[ok] for c in b[:4]]
+                        here = [np.full(len(ok), c[i]) for c in a[:5]]
+                        there = [c[ok] for c in b[:5]]
                         larger = (here[2] > there[2]) | ((here[2] == there[2]) & (here[1] < there[1]))
                         x = [np.where(larger, h, t) for h, t in zip(here, there, strict=True)]
-                        found.append(np.unique(np.stack([np.where(larger, there[0], here[0]), x[1], x[3]]), axis=1))
+                        found.append(np.unique(np.stack([np.where(larger, there[0], here[0]), x[3], x[4]]), axis=1))
                 if found:
                     out.append(np.unique(np.concatenate(found, axis=1), axis=1))
             rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["y", "root", "blk"])
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["y", "anchor", "blk"])
 
     return run
 
 
 def _meet(percent: int):
-    """Each asking member's first link (a: it, b: a member of the block) by the full sets."""
+    """Links (a: an asking member, b: a member of the block) by the full sets, as many as join different components."""
 
-    def sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        return K.column(table, "id").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in K.column(table, "set")]
+    def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return K.column(table, "id").to_numpy(), K.column(table, "root").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in K.column(table, "set")]
 
     def run(key: tuple[pa.Scalar, ...], asking: pa.Table, block: pa.Table) -> pa.Table:
-        ids, held = sets(block)
+        ids, roots, held = sets(block)
         sizes = np.array([len(x) for x in held], np.int64)
         everything = np.concatenate(held) if held else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(held)), sizes)
         order = np.argsort(everything, kind="stable")
         everything, owner = everything[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         out = []
-        for y, mine in zip(*sets(asking), strict=True):
+        for y, root, mine in zip(*sets(asking), strict=True):
             lo, hi = np.searchsorted(everything, mine, "left"), np.searchsorted(everything, mine, "right")
             count = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             shared = np.bincount(owner[at], minlength=len(held))
-            linked = np.flatnonzero((100 * shared >= percent * (sizes + len(mine) - shared)) & (shared > 0))
-            if len(linked):
-                out.append((y, ids[linked[0]]))
+            linked = (100 * shared >= percent * (sizes + len(mine) - shared)) & (shared > 0) & (roots != root)
+            for i in np.flatnonzero(linked):
+                a, b = find(int(root)), find(int(roots[i]))
+                if a != b:
+                    parent[a] = b
+                    out.append((y, ids[i]))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
     return run
@@ -288,15 +300,18 @@ def near_duplicates(
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("csize"))
     homes = (
-        members.select("rep").distinct()
+        members.groupBy("rep").agg(F.min("centre").alias("anchor"))
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         .join(sizes, "root", "left")
-        .select("rep", F.coalesce("root", "rep").alias("root"), F.coalesce("csize", F.lit(1)).alias("csize"))
+        .select("rep", F.coalesce("root", "rep").alias("root"), F.coalesce("csize", F.lit(1)).alias("csize"), "anchor")
     )
-    homes = cut(homes.withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("csize") / BLOCK))))
+    # A large component's members have their own blocks, others share those of the least centre around.
+    homes = cut(homes.withColumn("anchor", F.when(F.col("csize") >= BLOCK, F.col("root")).otherwise(F.col("anchor"))))
+    crowds = homes.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("blks"))
+    homes = cut(homes.join(crowds, "anchor").select("rep", "root", "csize", "anchor", F.pmod(F.xxhash64("rep"), "blks").alias("blk")))
     rooted = members.select("key", "rep", "n").join(homes, "rep")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    member = F.struct(F.col("rep").alias("id"), "root", "csize", "blk", F.col("n_shingles").alias("n"), "sig")
+    member = F.struct(F.col("rep").alias("id"), "root", "csize", "anchor", "blk", F.col("n_shingles").alias("n"), "sig")
     packed = cut(
         rooted.join(mixed, "key")
         .join(sigs, "rep")
@@ -307,22 +322,23 @@ def near_duplicates(
     met = packed.select("key", "block", F.col("cell").alias("left")).join(
         packed.select("key", F.col("block").alias("other"), F.col("cell").alias("right")), "key"
     )
-    asks = cut(met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, root long, blk long").distinct())
-    place = ["root", "blk", "chunk"]
-    loads = asks.groupBy("root", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks"))
+    asks = cut(met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, anchor long, blk long").distinct())
+    place = ["anchor", "blk", "chunk"]
+    loads = asks.groupBy("anchor", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks"))
     asking = (
-        asks.join(loads, ["root", "blk"])
-        .select(F.col("y").alias("id"), "root", "blk", F.pmod(F.xxhash64("y"), "chunks").alias("chunk"))
+        asks.join(loads, ["anchor", "blk"])
+        .select(F.col("y").alias("id"), "anchor", "blk", F.pmod(F.xxhash64("y"), "chunks").alias("chunk"))
+        .join(homes.select(F.col("rep").alias("id"), "root"), "id")
         .join(sets, "id")
     )
     blocks = (
-        homes.select(F.col("rep").alias("id"), "root", "blk")
-        .join(loads, ["root", "blk"])
+        homes.select(F.col("rep").alias("id"), "root", "anchor", "blk")
+        .join(loads, ["anchor", "blk"])
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("id", *place)
+        .select("id", "root", *place)
         .join(sets, "id")
     )
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("id", *place, "set")])  # noqa: E731  both sides hold columns of ``sets``
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("id", "root", *place, "set")])  # noqa: E731  both sides hold columns of ``sets``
     asking, blocks = fresh(asking), fresh(blocks)
     more = cut(asking.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(_meet(percent), "a long, b long"))
     roots = components(links.unionByName(more))
