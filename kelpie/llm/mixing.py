@@ -21,8 +21,8 @@ from kelpie.scratch import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Each source's documents are ordered within so many parts, so that no task orders a whole source.
 PARTS = 256
-#: Slots of a source are numbered in runs of this length, made in different tasks.
-RUN = 1 << 14
+#: Slots of a source are numbered in runs of this length, and so many slots are made in a task.
+RUN, MADE = 1 << 14, 1 << 20
 
 
 def words_in(text: Column) -> Column:
@@ -103,7 +103,9 @@ def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
         "sid", "n_blocks", "n_slots", "first_slot", "all_slots",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN).cast("long"))).alias("run"),
     )
-    runs = runs.repartition("sid", "run")
+    # A number, so that the few bytes of the runs aren't gathered in one task that then makes all slots.
+    total = sources.agg(F.max("all_slots")).first()[0] or 0
+    runs = runs.repartition(-(-total // MADE) or 1, "sid", "run")
     each = runs.withColumn("j", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "n_slots") - 1)))
     place = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(seed))
     block = permuted(F.pmod("j", "n_blocks"), F.col("n_blocks"), F.struct(F.lit(seed), "sid"))
