@@ -52,12 +52,11 @@ def shingles(text: Column, k: int = 5) -> Column:
 
 def band_shape(threshold: float, permutations: int = 128) -> tuple[int, int]:
     """(bands, rows) with the least sum of the areas of false positives and false negatives."""
-    x = np.linspace(0, 1, 2001)
+    below, above = np.linspace(0, threshold, 1001), np.linspace(threshold, 1, 1001)
     best = (math.inf, 1, permutations)
     for rows in range(1, permutations + 1):
         for bands in range(1, permutations // rows + 1):
-            found = 1 - (1 - x**rows) ** bands
-            area = np.trapezoid(found * (x <= threshold), x) + np.trapezoid((1 - found) * (x > threshold), x)
+            area = np.trapezoid(1 - (1 - below**rows) ** bands, below) + np.trapezoid((1 - above**rows) ** bands, above)
             best = min(best, (float(area), bands, rows))
     return best[1], best[2]
 

@@ -83,7 +83,8 @@ def check_read_only(spark: SparkSession, query: str) -> None:
     if _WRITES.search(query):
         raise ValueError("write clauses are not allowed")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    if "Command" in plan.getClass().getName() or not plan.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical") and "Unresolved" not in plan.getClass().getName():
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if command.isInstance(plan):
         raise ValueError("only queries are allowed")
 
 
