@@ -14,8 +14,11 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those that identification rejects go."""
-    found = language_id.identify(docs, language_id.learn(docs), keep=tuple(docs.columns))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with those of the operator
+    found = language_id.identify(
+        docs.toDF(*place.values()), language_id.learn(docs), place["doc_id"], place["text"], keep=tuple(place.values())
+    )
+    return found.where(~F.col("rejected")).select(*place.values()).toDF(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,24 +166,30 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Texts cross the network once: rows are matched by id and a hash of source and text, and
     repeated rows by their number. Documents that no slot reads are not in the mix.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("source", "text").alias("k2")]
-    sized = cut(docs.select("doc_id", "source", *key, words_in(F.col("text")).alias("size")))
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*place.values())  # so that no column's name clashes with those made here
+    doc_id, text, source = (F.col(place[c]) for c in ("doc_id", "text", "source"))
+    key = [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(source, text).alias("k2")]
+    sized = cut(inner.select(doc_id.alias("doc_id"), source.alias("source"), *key, words_in(text).alias("size")))
     rows = mixture(sized, size=F.col("size"), carry=("k1", "k2"), **options).where("epoch is not null")
     read = rows.groupBy("k1", "k2", "sid", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("pieces"))
-    read = read.withColumn("copy", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start"))).toDF(
-        "r1", "r2", "sid", "start", "epoch", "pieces", "copy"
-    )
-    texts = docs.select(*docs.columns, *key)
+    read = read.withColumn("copy", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start")))
+    read = read.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "pieces", "copy")
+    texts = inner.select("*", *key)
     texts = texts.withColumn("number", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
     # As a difference, so that the copies' numbers are no join key and the window's exchange serves.
     same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("number") - F.col("copy") == 0)
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = lambda p: F.array_join(F.slice(F.col("words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
-    out = texts.join(read.hint("merge"), same).withColumn("words", words)
-    out = out.withColumn("text", F.array_join(F.transform("pieces", part), ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def read_of(held: Column) -> Column:
+        part = lambda p: F.array_join(F.slice(held, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), "")
+        return F.array_join(F.transform("pieces", part), "")
+
+    # The words are bound as a variable, else each piece would split the text again.
+    out = texts.join(read.hint("merge"), same).withColumn(place["text"], F.get(F.transform(F.array(words), read_of), F.lit(0)))
+    if "n_chars" in place:
+        out = out.withColumn(place["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*place.values()).toDF(*docs.columns)
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
