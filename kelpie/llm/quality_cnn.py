@@ -88,7 +88,13 @@ class Network:
         row = np.repeat(np.arange(len(labels)), np.diff(rows))
         mean, high, low = np.split(error[:, None] * self.p["weight"], 3, axis=1)
         top, bottom = inputs[:, FILTERS : 2 * FILTERS], inputs[:, 2 * FILTERS :]
-        g = mean[row] / np.diff(rows)[row][:, None] + high[row] * (pooled == top[row]) + low[row] * (pooled == bottom[row])
+
+        def shared(best: np.ndarray) -> np.ndarray:
+            """Chunks that tie share the gradient."""
+            hit = (pooled == best[row]).astype(np.float32)
+            return hit / np.add.reduceat(hit, rows[:-1])[row]
+
+        g = mean[row] / np.diff(rows)[row][:, None] + high[row] * shared(top) + low[row] * shared(bottom)
         g = (g * (pooled > 0)).astype(np.float32)
         at = where[:, :, None] * STEP + np.arange(2 * STEP)
         window = made[np.arange(len(made))[:, None, None], at]
