@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,8 +89,7 @@ def fit(texts: dict[str, list[str]]) -> dict[str, bytes]:
     return build(clean)
 
 
-PREDICTED = "id long, lang_pred string, score double, rejected boolean"
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}  # of the latest model that this worker has used
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     A null text, or one without a letter, is ``und``, score 0, rejected. Columns of ``keep`` are
     carried through unchanged; others are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    sent, model = docs.sparkSession.sparkContext.broadcast(dictionaries), uuid.uuid4().hex
     if docs.schema[id_col].dataType.simpleString() != "bigint":
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
@@ -106,11 +106,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(sent)
-        if key not in _coders:
+        if model not in _coders:
             _coders.clear()
-            _coders[key] = Coder(sent.value)
-        coder = _coders[key]
+            _coders[model] = Coder(sent.value)
+        coder = _coders[model]
         for batch in batches:
             found = [coder.predict(t.as_py()) for t in K.column(batch, text_col)]
             yield pa.RecordBatch.from_arrays(

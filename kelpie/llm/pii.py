@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -238,19 +239,20 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_fitted: dict[int, Finder] = {}
+_fitted: dict[str, Finder] = {}  # of the latest model that this worker has used
 
 
 def _per_batch(sent, make, schema_names: list[str]):
     """An Arrow mapper whose rows are made from (batch, texts, found)."""
+    model = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(sent) not in _fitted:
+        if model not in _fitted:
             _fitted.clear()
-            _fitted[id(sent)] = Finder(*sent.value)
+            _fitted[model] = Finder(*sent.value)
         for batch in batches:
             texts = [t or "" for t in K.column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(make(batch, texts, _fitted[id(sent)].find(texts)), names=schema_names)
+            yield pa.RecordBatch.from_arrays(make(batch, texts, _fitted[model].find(texts)), names=schema_names)
 
     return run
 
