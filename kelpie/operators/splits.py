@@ -13,13 +13,13 @@ def seeded(seed: int, key: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def ranked(rows: DataFrame, key: str, seed: int, parts: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, key: str, seed: int, parts: int = 4096) -> DataFrame:
     """``rows`` with ``place``: their number from 0 in the order of md5(seed|key), made without one task for all.
 
-    The first byte of the hash deals rows to ranges; a row's place is the rows of earlier ranges and
+    The first digits of the hash deal rows to ranges; a row's place is the rows of earlier ranges and
     its number in its own.
     """
-    hashed = rows.withColumn("h", seeded(seed, key)).withColumn("range", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % 256 * parts / 256)
+    hashed = rows.withColumn("h", seeded(seed, key)).withColumn("range", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * parts / 65536)
     hashed = hashed.withColumn("range", F.floor("range").cast("int"))
     sizes = hashed.groupBy("range").count()
     before = F.sum("count").over(Window.orderBy("range")) - F.col("count")  # at most ``parts`` rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kelpie.functions.text import WORD
 
 #: Ranges of documents that are numbered each on its own, then put one after another.
-RANGES = 256
+RANGES = 1024
 
 
 def stream_offsets(docs: DataFrame, order: str, size: str) -> DataFrame:
