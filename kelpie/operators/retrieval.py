@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 from collections.abc import Sequence
@@ -134,15 +135,11 @@ class TemplateWriter:
 
 
 def row_context(query: str, rows: list[dict], linked: dict[str, list], cap: int = 60) -> str:
-    """Entities, query and rows as text for an answering model."""
-    import json
-
-    head = f"Entities in the question:\n{json.dumps(linked, ensure_ascii=False)}\n\nGraph query:\n{query}\n\n"
-    if not rows:
-        return head + "The graph query returned no rows."
-    lines = [json.dumps(r, ensure_ascii=False, default=str) for r in rows[:cap]]
-    more = f"\n... and {len(rows) - cap} more rows" if len(rows) > cap else ""
-    return head + f"Result ({len(rows)} rows):\n" + "\n".join(lines) + more
+    """Entities, query and rows as text for an answering model; rows over ``cap`` are only counted."""
+    as_json = lambda x: json.dumps(x, ensure_ascii=False, default=str)
+    shown = [as_json(r) for r in rows[:cap]] + ([f"... and {len(rows) - cap} more rows"] if len(rows) > cap else [])
+    result = "\n".join([f"Result ({len(rows)} rows):", *shown]) if rows else "The graph query returned no rows."
+    return "\n\n".join([f"Entities in the question:\n{as_json(linked)}", f"Graph query:\n{query}", result])
 
 
 def ask_graph(spark: SparkSession, question: str, linked: dict[str, list], writer: QueryWriter | None = None, limit: int = 500) -> tuple[str, str | None]:
