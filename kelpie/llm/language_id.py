@@ -34,7 +34,9 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    """The lower-cased letters with single spaces for all else; empty without any letter."""
+    some = _OTHER.sub(" ", (text or "").lower()).strip()
+    return some.encode("utf-8", "surrogatepass") if any(map(str.isalpha, some)) else b""
 
 
 class Coder:
