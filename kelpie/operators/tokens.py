@@ -142,7 +142,6 @@ def saving(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     return sums.withColumn("reduction_pct", F.round(100 * F.try_divide(F.col("tokens_before") - F.col("tokens_after"), F.col("tokens_before")), 2))
 
 
-def train_tokenizer(docs: DataFrame, size: int, text_col: str = "text"):
-    """The word counts that a tokeniser trainer needs, as a table: training itself is a plug-in."""
-    del size
+def trainer_input(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, freq): what a tokeniser's trainer needs; training itself is a plug-in."""
     return word_table(docs, text_col=text_col).select("word", "freq")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text
 from kelpie.functions.html import strip_html
-from kelpie.operators import dedup, quality, splits, tagging, tokens
+from kelpie.operators import dedup, lifecycle, quality, splits, tagging, tokens
 from kelpie.scratch import cut
 
 QUERIES, SQL = {}, {}
@@ -317,3 +317,21 @@ def corpus_card(spark, sf):
     sums = table(spark, sf, "documents").groupBy(part.alias("part")).agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
     share = F.round(F.col("documents") / F.sum("documents").over(Window.partitionBy()), 3)
     return sums.select("part", "documents", "chars", F.floor(F.col("chars") / 4).cast("long").alias("tokens_estimate"), share.alias("share"))
+
+
+@query(f"""
+WITH k AS (SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND {_REASON} = 'kept' GROUP BY array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('17|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS place, count(*) OVER () AS n FROM k),
+t AS (SELECT doc_id FROM p WHERE place >= least(300, greatest(n // 10, 1))),
+g AS (SELECT doc_id, row_number() OVER (ORDER BY md5('17|' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents WHERE lang <> 'en')
+SELECT doc_id, 'domain' AS origin FROM t UNION ALL SELECT doc_id, 'replay' FROM g WHERE place <= (SELECT CAST(floor(count(*) * 0.15 / (1 - 0.15)) AS BIGINT) FROM t)""")
+def pretraining_corpus(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    made = lifecycle.pretraining_corpus(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"), near=False)
+    return made["train"].select("doc_id", "origin")
+
+
+@query()
+def pretraining_card(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return lifecycle.pretraining_corpus(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"))["card"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpie.functions import fixed
-from kelpie.operators import dedup, evaluation, graph, monitor, quality, retrieval, splits, tagging, tokens
+from kelpie.operators import dedup, evaluation, graph, lifecycle, monitor, quality, retrieval, splits, tagging, tokens
 
 
 def frame(spark, rows, schema):
@@ -230,3 +230,19 @@ def test_probes(spark):
     vocab = frame(spark, [(t,) for t in ("limestone", "shale", "chalk", "marl")], "term string")
     row = tagging.cloze_probes(docs, vocab, 5).first()
     assert row.answer == "Limestone" and row.prompt.endswith("thin") and sorted(row.distractors) == ["chalk", "marl", "shale"]
+
+
+def test_training_rows(spark):
+    words = ["shale", "chalk", "marl"]
+    rows = [(i, i // 2, f"Unit{i // 2}", f"Unit{i // 2} Group of {words[i % 3]}, {i + 1} feet thick.", "u", 1990) for i in range(20)]
+    rows += [(20, 0, "Unit0", rows[0][3].upper(), "u", 1990), (21, 30, "Dull", "Nothing of note here.", "u", 1990)]
+    passages = frame(spark, rows, "ord long, unit_id long, unit_name string, passage string, source_url string, ref_year int")
+    entries = frame(spark, [(w, w, i) for i, w in enumerate(words)], "surface string, canonical string, ord int")
+    empty = tagging.gazetteer(entries.limit(0))
+    vocab = {"lithologies": tagging.gazetteer(entries), "chronostrat": empty, "minerals": empty, "states": empty}
+    made = lifecycle.training_rows(passages, vocab, frame(spark, [], "name string"), test=0.2, valid=0.2)
+    assert made.count() == 20 and made.where(~lifecycle.same_prompt(made)).count() == 0
+    assert made.groupBy("unit_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    card = {r.split: (r.rows, r.units, r.kept, r.passages) for r in lifecycle.dataset_card(passages, made).collect()}
+    assert card == {"test": (4, 2, 20, 22), "valid": (4, 2, 20, 22), "train": (12, 6, 20, 22)}
+    assert all(r.messages[2].content.startswith('{"unit_name": "Unit') for r in made.collect())
