@@ -180,9 +180,10 @@ def _estimated(percent: int, m: int):
 
 
 def _asks(percent: int, m: int):
-    """(y, anchor, blk): members and the blocks of other components that they may be linked with.
+    """(y, places): members and the blocks (anchor, blk) of other components that they may be linked with.
 
-    Of two components the smaller asks.
+    Of two components the smaller asks. A bucket tells each member's places in one row, so that
+    places which several buckets tell become one before they are spread out.
 
     Input: rows of two cells, each the members of a block of a bucket.
     """
@@ -211,7 +212,10 @@ def _asks(percent: int, m: int):
                 if found:
                     out.append(np.unique(np.concatenate(found, axis=1), axis=1))
             rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["y", "anchor", "blk"])
+            ys, first = np.unique(rows[0], return_index=True)
+            places = pa.StructArray.from_arrays([pa.array(rows[1]), pa.array(rows[2])], names=["anchor", "blk"])
+            offsets = pa.array(np.append(first, rows.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ys), pa.ListArray.from_arrays(offsets, places)], names=["y", "places"])
 
     return run
 
@@ -322,7 +326,9 @@ def near_duplicates(
     met = packed.select("key", "block", F.col("cell").alias("left")).join(
         packed.select("key", F.col("block").alias("other"), F.col("cell").alias("right")), "key"
     )
-    asks = cut(met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, anchor long, blk long").distinct())
+    told = met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, places array<struct<anchor:long,blk:long>>")
+    told = told.groupBy("y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    asks = cut(told.select("y", F.explode("places").alias("x")).select("y", "x.anchor", "x.blk"))
     place = ["anchor", "blk", "chunk"]
     loads = asks.groupBy("anchor", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks"))
     asking = (
