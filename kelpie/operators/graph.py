@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import fixed, text
+from kelpie.scratch import cut
 
 RAW_EDGE = "type string, src string, dst string, source string, passage string, usage string, unconformable boolean, ord long"
 #: Node kinds by the prefix of their reference; for units the whole reference is the key.
 KINDS = {"geolex": "Unit", "name": "Unit", "passage": "Passage", "interval": "Interval", "lithology": "Lithology", "mineral": "Mineral", "state": "State", "province": "Province"}
 EPSILON = 0.01
+SALTS = 32
 
 
 def merge_edges(raw: DataFrame) -> DataFrame:
@@ -79,13 +81,21 @@ def placeholders(resolved: DataFrame) -> DataFrame:
 def within(intervals: DataFrame) -> DataFrame:
     """(child, parent): each interval's containers of the next higher rank that has any.
 
-    A range join of one small table (hundreds of rows) with itself.
+    The range join is one of distinct spans (rank and ages), of which there are few however many
+    intervals have them. Names come back by equi-joins; parents are repeated for each of ``SALTS``
+    parts of the children, so that a span that very many intervals have is no single task.
     """
     ranks = F.array(*[F.lit(r) for r in fixed.INTERVAL_RANKS])
     leveled = intervals.withColumn("level", F.array_position(ranks, F.col("rank"))).where("level > 0").select("name", "t_age", "b_age", "level")
-    c, p = leveled.toDF("child", "ct", "cb", "cl"), leveled.toDF("parent", "pt", "pb", "pl")
-    pairs = c.join(F.broadcast(p), (F.col("pl") > F.col("cl")) & (F.col("pt") - EPSILON <= F.col("ct")) & (F.col("cb") <= F.col("pb") + EPSILON))
-    return pairs.withColumn("least", F.min("pl").over(Window.partitionBy("child"))).where("pl = least").select("child", "parent")
+    spans = cut(leveled.select("t_age", "b_age", "level").distinct())
+    c, p = spans.toDF("ct", "cb", "cl"), spans.toDF("pt", "pb", "pl")
+    pairs = cut(c.join(p, (F.col("pl") > F.col("cl")) & (F.col("pt") - EPSILON <= F.col("ct")) & (F.col("cb") <= F.col("pb") + EPSILON)))
+    least = pairs.groupBy("ct", "cb", "cl").agg(F.min("pl").alias("pl"))
+    children = leveled.toDF("child", "ct", "cb", "cl").join(least, ["ct", "cb", "cl"]).withColumn("least", F.min("pl").over(Window.partitionBy("child"))).where("pl = least")
+    children = children.withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")).join(pairs, ["ct", "cb", "cl", "pl"])
+    parents = leveled.toDF("parent", "pt", "pb", "pl").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    key = ["pt", "pb", "pl", "salt"]
+    return children.repartition(SALTS, *key).join(parents.repartition(SALTS, *key).hint("shuffle_hash"), key).select("child", "parent")
 
 
 def with_extra_interval(intervals: DataFrame) -> DataFrame:

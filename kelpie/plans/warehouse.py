@@ -119,13 +119,26 @@ i AS (SELECT 'p' || p_partkey AS name, ['age','epoch','period','era'][(p_partkey
 @query(f"""WITH {_INTERVALS}, pairs AS (SELECT c.name AS child, p.name AS parent, p.level, min(p.level) OVER (PARTITION BY c.name) AS least
 FROM i c JOIN i p ON p.level > c.level AND p.t - 0.01 <= c.t AND c.b <= p.b + 0.01) SELECT child, parent FROM pairs WHERE level = least""")
 def interval_within(spark, sf):
-    part = table(spark, sf, "part").where("p_partkey < 200")
+    return graph.within(_intervals(table(spark, sf, "part").where("p_partkey < 200")))
+
+
+#: The same SQL over all parts.
+_ALL_INTERVALS = _INTERVALS.replace(" WHERE p_partkey < 200", "")
+
+
+@query(f"""WITH {_ALL_INTERVALS}, pairs AS (SELECT c.name AS child, p.name AS parent, p.level, min(p.level) OVER (PARTITION BY c.name) AS least
+FROM i c JOIN i p ON p.level > c.level AND p.t - 0.01 <= c.t AND c.b <= p.b + 0.01) SELECT child, parent FROM pairs WHERE level = least""")
+def interval_within_all(spark, sf):
+    return graph.within(_intervals(table(spark, sf, "part")))
+
+
+def _intervals(part):
+    """Parts as intervals of four ranks."""
     ranks = F.array(*[F.lit(r) for r in fixed.INTERVAL_RANKS[:4]])
     kind = F.col("p_partkey") % 4
     top = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 + 1 WHEN 1 THEN (p_size div 5) * 50.0 WHEN 2 THEN (p_size div 10) * 100.0 ELSE 0.0 END").cast("double")
     base = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 + 9 WHEN 1 THEN (p_size div 5) * 50.0 + 50 WHEN 2 THEN (p_size div 10) * 100.0 + 100 ELSE 600.0 END").cast("double")
-    rows = part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("name"), F.get(ranks, kind.cast("int")).alias("rank"), top.alias("t_age"), base.alias("b_age"))
-    return graph.within(rows)
+    return part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("name"), F.get(ranks, kind.cast("int")).alias("rank"), top.alias("t_age"), base.alias("b_age"))
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import fixed
 from kelpie.operators import dedup, evaluation, graph, lifecycle, monitor, quality, retrieval, splits, tagging, tokens
+from kelpie.plans import warehouse
 
 
 def frame(spark, rows, schema):
@@ -246,3 +247,23 @@ def test_training_rows(spark):
     card = {r.split: (r.rows, r.units, r.kept, r.passages) for r in lifecycle.dataset_card(passages, made).collect()}
     assert card == {"test": (4, 2, 20, 22), "valid": (4, 2, 20, 22), "train": (12, 6, 20, 22)}
     assert all(r.messages[2].content.startswith('{"unit_name": "Unit') for r in made.collect())
+
+
+def test_intervals_of_all_parts(spark):
+    sf = "/root/testdata/sf0.01"
+    found = sorted(tuple(r) for r in warehouse.interval_within_all(spark, sf).collect())
+    part = [(r.p_partkey, r.p_size) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    ages = {0: lambda n: (n * 10.0 + 1, n * 10.0 + 9), 1: lambda n: (n // 5 * 50.0, n // 5 * 50.0 + 50), 2: lambda n: (n // 10 * 100.0, n // 10 * 100.0 + 100), 3: lambda n: (0.0, 600.0)}
+    rows = [(f"p{k}", k % 4, *ages[k % 4](n)) for k, n in part]
+    want = []
+    for name, level, t, b in rows:
+        over = [(x, m) for x, m, s, e in rows if m > level and s - 0.01 <= t and b <= e + 0.01]
+        want += [(name, x) for x, m in over if m == min(m for _, m in over)]
+    assert found == sorted(want) and any(int(k[1:]) >= 200 for k, _ in found)
+
+
+def test_spans_shared_by_many_intervals(spark):
+    many = [(f"c{i}", "age", 1.0, 2.0) for i in range(3000)] + [("e", "era", 0.0, 9.0), ("f", "era", 0.0, 9.0), ("g", "eon", 0.0, 9.0), ("c1", "period", 0.0, 5.0)]
+    found = graph.within(frame(spark, many, "name string, rank string, t_age double, b_age double"))
+    # The least rank is one of a name's rows together: c1 as a period has only eras above.
+    assert sorted(tuple(r) for r in found.collect()) == sorted([*((f"c{i}", "c1") for i in range(3000)), ("e", "g"), ("f", "g")])
