@@ -149,10 +149,23 @@ SELECT p_name || ' Group' AS name, CASE WHEN k IS NULL THEN 'name:' || m.core EL
 FROM m LEFT JOIN f ON f.core = m.core WHERE m.core <> m.p_name""")
 def entity_resolution(spark, sf):
     """Units are named by the first word of a part's name; mentions add words that are no part of the core."""
-    part = table(spark, sf, "part")
+    return _resolved(table(spark, sf, "part"), F.col("p_partkey") < 40)
+
+
+@query("""
+WITH m AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS core FROM part),
+f AS (SELECT split_part(p_name, ' ', 1) AS core, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY 1)
+SELECT p_name || ' Group' AS name, CASE WHEN k IS NULL THEN 'name:' || m.core ELSE 'geolex:' || k END AS key, CASE WHEN k IS NULL THEN 'placeholder' WHEN n = 1 THEN 'resolved' ELSE 'guess' END AS outcome
+FROM m LEFT JOIN f ON f.core = m.core WHERE m.core <> m.p_name""")
+def entity_resolution_all(spark, sf):
+    """The same with all parts as units."""
+    return _resolved(table(spark, sf, "part"), F.lit(True))
+
+
+def _resolved(part, curated):
     first = F.get(F.split("p_name", " "), F.lit(0))
     none = F.array().cast("array<string>")
-    units = part.where("p_partkey < 40").select(F.concat(F.lit("geolex:"), F.col("p_partkey")).alias("key"), first.alias("name"), F.lit(True).alias("geolex"), none.alias("states"), F.col("p_partkey").alias("ord"))
+    units = part.where(curated).select(F.concat(F.lit("geolex:"), F.col("p_partkey")).alias("key"), first.alias("name"), F.lit(True).alias("geolex"), none.alias("states"), F.col("p_partkey").alias("ord"))
     said = part.select("p_name").distinct().where(F.contains("p_name", F.lit(" ")))
     mentions = said.select(F.col("p_name").alias("ord"), F.concat(F.get(F.split("p_name", " "), F.lit(0)), F.lit(" shale group")).alias("name"), none.alias("states"))
     found = graph.resolve(mentions, units)

@@ -267,3 +267,21 @@ def test_spans_shared_by_many_intervals(spark):
     found = graph.within(frame(spark, many, "name string, rank string, t_age double, b_age double"))
     # The least rank is one of a name's rows together: c1 as a period has only eras above.
     assert sorted(tuple(r) for r in found.collect()) == sorted([*((f"c{i}", "c1") for i in range(3000)), ("e", "g"), ("f", "g")])
+
+
+def test_resolution_among_all_parts(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {tuple(r) for r in warehouse.entity_resolution_all(spark, sf).collect()}
+    names, keys = set(), {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").collect():
+        names.add(r.p_name)
+        keys.setdefault(r.p_name.split(" ")[0], []).append(r.p_partkey)
+    of = lambda name: keys[name.split(" ")[0]]
+    assert found == {(f"{x} Group", f"geolex:{min(of(x))}", "resolved" if len(of(x)) == 1 else "guess") for x in names if " " in x}
+
+
+def test_core_of_very_many_units(spark):
+    units = spark.range(20000).select(F.concat(F.lit("geolex:"), "id").alias("key"), F.lit("Ada").alias("name"), F.lit(True).alias("geolex"), F.array(F.concat(F.lit("s"), F.col("id") % 50)).alias("states"), F.col("id").alias("ord"))
+    asked = spark.range(200).select(F.col("id").alias("ord"), F.lit("Ada Group").alias("name"), F.array(F.concat(F.lit("s"), "id")).alias("states"))
+    found = {r.ord: (r.key, r.outcome) for r in graph.resolve(asked, units).collect()}
+    assert found == {i: (f"geolex:{i}", "by_state") if i < 50 else ("geolex:0", "guess") for i in range(200)}
