@@ -69,6 +69,14 @@ def dedup_stats(spark, sf):
     return dedup.stats(docs, unique, unique)
 
 
+@query()
+def dedup_stats_near(spark, sf):
+    """The counts with near-duplicate removal (exact by words, then by signature bands) after exact removal."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    unique = cut(dedup.exact(docs))
+    return dedup.stats(docs, unique, dedup.near(unique))
+
+
 @query()
 def near_dup_kept(spark, sf):
     return dedup.near(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id")
@@ -331,6 +339,13 @@ def pretraining_corpus(spark, sf):
     return made["train"].select("doc_id", "origin")
 
 
+@query()
+def pretraining_corpus_near(spark, sf):
+    """The corpus that ``pretraining_card`` describes: near copies go too."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return lifecycle.pretraining_corpus(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"))["train"].select("doc_id", "origin")
+
+
 @query()
 def pretraining_card(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")

@@ -1,4 +1,5 @@
 import datetime  # noqa: F401
+import hashlib
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import fixed
 from kelpie.operators import dedup, evaluation, graph, lifecycle, monitor, quality, retrieval, splits, tagging, tokens
-from kelpie.plans import warehouse
+from kelpie.plans import corpus, warehouse
 
 
 def frame(spark, rows, schema):
@@ -285,3 +286,40 @@ def test_core_of_very_many_units(spark):
     asked = spark.range(200).select(F.col("id").alias("ord"), F.lit("Ada Group").alias("name"), F.array(F.concat(F.lit("s"), "id")).alias("states"))
     found = {r.ord: (r.key, r.outcome) for r in graph.resolve(asked, units).collect()}
     assert found == {i: (f"geolex:{i}", "by_state") if i < 50 else ("geolex:0", "guess") for i in range(200)}
+
+
+def test_near_copies_leave_the_corpus(spark, tmp_path):
+    rng = random.Random(8)
+    rows, n = [], 0
+    for lang in ("en", "en", "en", "de"):
+        for _ in range(12):
+            words = [f"{rng.choice('abcdefgh')}{''.join(rng.choice('abcdefghijklmnop') for _ in range(6))}{'.' if i % 30 == 29 else ''}" for i in range(240)]
+            texts = [" ".join(words), " ".join(words).upper(), " ".join([*words[:120], "edited", *words[121:]]), " ".join([*words[:60], *reversed(words[60:])])]
+            rows += [(n := n + 1, t, lang) for t in texts]
+    rng.shuffle(rows)
+    frame(spark, rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shingles(text):
+        w = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def firsts(some):
+        kept = []
+        for i, text, _ in sorted(some):
+            mine = shingles(text)
+            if all(len(mine & s) < 0.8 * len(mine | s) for _, s in kept):
+                kept.append((i, mine))
+        return [i for i, _ in kept]
+
+    exact = len({"".join(filter(str.isalnum, t.lower())) for _, t, _ in rows})
+    left = len(firsts(rows))
+    row = corpus.dedup_stats_near(spark, str(tmp_path)).first()
+    assert (row.documents_in, row.exact_removed, row.near_removed, row.documents_out) == (len(rows), len(rows) - exact, exact - left, left) and row.near_removed > 0
+    order = lambda i: (hashlib.md5(f"17|{i}".encode()).hexdigest(), i)
+    unique = sorted(firsts([r for r in rows if r[2] == "en"]), key=order)
+    train = unique[max(1, len(unique) // 10) :]
+    replay = sorted((r[0] for r in rows if r[2] != "en"), key=order)[: int(len(train) * 0.15 / (1 - 0.15))]
+    found = {tuple(r) for r in corpus.pretraining_corpus_near(spark, str(tmp_path)).collect()}
+    assert found == {(i, "domain") for i in train} | {(i, "replay") for i in replay}
+    card = {r.origin: r.documents for r in corpus.pretraining_card(spark, str(tmp_path)).collect()}
+    assert card == {"domain": len(train), "replay": len(replay)}
