@@ -4,7 +4,8 @@ Base spans are exact patterns with checks (email, ip, card, phone) and always st
 propose further, overlapping spans of kinds that patterns alone cannot settle: secrets, numbers
 of persons or accounts, phone numbers without a country, and masked addresses. Boosted trees
 judge each from its form and the text around it; for each kind the lowest threshold that keeps
-the wanted precision on calibration examples selects the redactions, best first, without overlap.
+the wanted precision on calibration examples selects the redactions, best first, without overlap
+(but a secret may hold base spans, and goes before its own parts).
 
 No table marks personal data, so the trees learn from examples made by rule here (``examples``).
 """
@@ -41,10 +42,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key)['\"]?\s*(?:[:=]|is)\s*[\"']?([^\s\"']{6,128})")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,64}[0-9])[A-Za-z0-9_]{16,128}(?![A-Za-z0-9_])")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key)['\"]?\s*(?:[:=]|is)\s*[\"']?([^\s\"']{6,}+)")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+")
 _PERSON = re.compile(r"(?<![0-9.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
-_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _MASKED = re.compile(r"(?i)[a-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,24}){1,4}")
 _DOT = re.compile(r"(?i)[\[( ]dot[\]) ]")
@@ -215,12 +216,20 @@ class Finder:
         chosen: dict[int, list] = {}
         if proposed:
             p = self.trees.probability(np.array([form(texts[i], k, s, e) for i, k, s, e in proposed]))
-            for j in np.lexsort(([c[2] - c[3] for c in proposed], -p)):
+            good = [j for j, c in enumerate(proposed) if p[j] >= self.cuts[c[1]]]
+            inner, last, reach = set(), None, -1
+            for j in sorted(good, key=lambda j: (*proposed[j][:3], -proposed[j][3])):
+                i, kind, _, end = proposed[j]
+                if (i, kind) == last and end <= reach:
+                    inner.add(j)  # a run of a longer value: the whole value goes first
+                else:
+                    last, reach = (i, kind), end
+            for j in sorted(good, key=lambda j: (j in inner, -p[j], proposed[j][2] - proposed[j][3])):
                 i, kind, start, end = proposed[j]
-                if p[j] >= self.cuts[kind]:
-                    taken = chosen.setdefault(i, [])
-                    if all(end <= s or start >= e for _, s, e in (*based[i], *taken)):
-                        taken.append((kind, start, end))
+                taken = chosen.setdefault(i, [])
+                whole = lambda s, e: kind == "secret" and start <= s and e <= end and e - s < end - start  # noqa: E731  a base span, such as digits like a card's, within a secret
+                if all(end <= s or start >= e for _, s, e in taken) and all(end <= s or start >= e or whole(s, e) for _, s, e in based[i]):
+                    taken.append((kind, start, end))
         order = lambda span: (KINDS.index(span[0]), span[1])
         return [(b, sorted((*b, *chosen.get(i, ())), key=order)) for i, b in enumerate(based)]
 

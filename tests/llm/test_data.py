@@ -66,6 +66,23 @@ def test_pii_methods(odd_docs, no_docs):
     assert pii.redact_texts(no_docs).count() == 0 and pii.redact_texts(no_docs).columns == no_docs.columns
 
 
+def test_long_secrets_and_short_accounts():
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    finder = pii.Finder(*pii.fit())
+    for n in (300, 3000):
+        for value in (key(n), f"eyJ{key(n)}.eyJ{key(n)}.{key(43)}", key(n // 2) + "4111111111111111" + key(n // 2)):
+            text = f"words token = {value} and more"
+            assert pii.redact(text, finder.find([text])[0][1]) == "words token = [SECRET] and more"
+    late = "x" * 90 + key(200) + "7"
+    assert ("secret", 4, 4 + len(late)) in pii.candidates(f"see {late} here")
+    iban = "NO93 8601 1117 947"
+    for text in (f"IBAN {iban} ok", f"IBAN {iban.replace(' ', '')} ok"):
+        assert pii._iban(text[5:-3]) and ("account", 5, len(text) - 3) in pii.candidates(text)
+        assert pii.redact(text, finder.find([text])[0][1]) == "IBAN [ACCOUNT] ok"
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_top_k_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(kd_search, "SHARD", 60)
