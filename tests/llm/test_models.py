@@ -106,6 +106,19 @@ def test_language_id(spark, odd_docs, no_docs):
     assert again.predict("xxxx")[2] and again.predict("xxxx")[0] == "a" and again.predict("12 !")[0] == "und"
 
 
+def test_language_margins():
+    rng = random.Random(6)
+    stems = {"en": ["the", "ing", "tion", "wh", "ea", "st", "or"], "de": ["sch", "ung", "keit", "ein", "er", "st", "au"], "fr": ["eau", "ment", "oi", "que", "ai", "er", "on"]}
+    coder = language_id.Coder(language_id.fit({k: [_language(rng, v) for _ in range(300)] for k, v in stems.items()}))
+    for size in (2_000, 20_000):
+        noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(size // 6)) for _ in range(30)]
+        assert sum(coder.predict(x)[2] for x in noise) >= 28
+    whole = [(k, " ".join(_language(rng, v) for _ in range(n))) for k, v in stems.items() for n in (1, 5, 20) for _ in range(10)]
+    assert all(coder.predict(x)[::2] == (k, False) for k, x in whole)
+    tied = [(k, x) for k in stems for x in sorted({a + b for a in stems[k][:3] for b in stems[k][:3]}) if len(set(coder.lengths(language_id.letters(x)))) == 1]
+    assert len(tied) >= 5 and all(coder.predict(x)[::2] == (k, False) for k, x in tied)
+
+
 def test_network_gradients():
     net = quality_cnn.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
