@@ -1,8 +1,8 @@
 """URL filters: a trie over reversed host labels and path segments, longest match wins.
 
 A rule is (verdict, host, path). It fits its host and all subdomains if the URL's path starts
-with the rule's. Of the rules that fit, the one with the longest text (host + path) decides;
-block goes before allow where the same text has both.
+with the rule's. Of the rules that fit, the one with the longest text (host + path, in
+characters) decides; of equally long ones block goes before allow, then the greatest text.
 """
 
 from __future__ import annotations
@@ -33,12 +33,17 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
+def rank(rule: tuple[str, str]) -> tuple[int, bool, str]:
+    """The order of precedence of (verdict, text): the greatest decides."""
+    return len(rule[1]), rule[0] == "block", rule[1]
+
+
 class Trie:
     """Nodes of host labels from the right; each holds a trie of path segments.
 
     A segment is a path's text up to and with its next slash, so that descending by whole
     segments equals a prefix test; a rule whose path ends within a segment is kept with its last
-    node as an open end.
+    node as an open end. Open ends are looked up by their lengths, however many a node has.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -51,10 +56,9 @@ class Trie:
             whole, open_end = self.segments(path)
             for segment in whole:
                 node = node.setdefault("next", {}).setdefault(segment, {})
-            text = host + path
-            ends = node.setdefault("ends", {})
-            if ends.get(open_end, ("allow",))[0] != "block":
-                ends[open_end] = (verdict, text)
+            by_size = node.setdefault("ends", {}).setdefault(len(open_end), {})
+            if open_end not in by_size or rank((verdict, host + path)) > rank(by_size[open_end]):
+                by_size[open_end] = (verdict, host + path)
 
     @staticmethod
     def segments(path: str) -> tuple[list[str], str]:
@@ -74,8 +78,9 @@ class Trie:
             at = node["paths"]
             for i in range(len(whole) + 1):
                 here = whole[i] if i < len(whole) else tail
-                for open_end, rule in at.get("ends", {}).items():
-                    if here.startswith(open_end) and (best is None or len(rule[1]) > len(best[1])):
+                for size, by_size in at.get("ends", {}).items():
+                    rule = by_size.get(here[:size])
+                    if rule and (best is None or rank(rule) > rank(best)):
                         best = rule
                 at = at.get("next", {}).get(here) if i < len(whole) else None
                 if at is None:
@@ -88,7 +93,10 @@ def judge_urls(
 ) -> DataFrame:
     """id, host, path, rule (its text, null if none fits), verdict; a row for each row of ``df``.
 
-    Rules over ``TRIE_BYTES`` are joined instead of sent: see :func:`judge_urls_joined`.
+    A null URL, or one without ``://``, has empty host and path and the default verdict unless a
+    rule has an empty host. Repeated rows are judged each, an empty table gives no rows, other
+    columns are not read. Rules over ``TRIE_BYTES`` are joined instead of sent, with the same
+    results: see :func:`judge_urls_joined`.
     """
     rules = list(rules)
     if sum(len(h) + len(p) for _, h, p in rules) > TRIE_BYTES:
@@ -117,11 +125,12 @@ def judge_urls(
 
 
 def judge_urls_joined(df: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The same verdicts from a rule table (verdict, host, path) of any size.
+    """The same verdicts from a rule table (verdict, host, path) of any size; nothing is sent whole.
 
-    Each URL is looked up under every host suffix and every prefix of its path by an equi-join,
-    so nothing is sent whole. Rows are told apart by a surrogate of id and URL: repeated rows get
-    the same verdict.
+    Each distinct place (host and path) meets the lengths that the paths of its hosts' rules have,
+    by an equi-join on the host suffix; only prefixes of these lengths are then looked up, by a
+    second equi-join. So rows grow with places times the distinct rule lengths of a host, not with
+    the length of paths or the number of rules.
     """
     after = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     out = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"))
@@ -129,11 +138,14 @@ def judge_urls_joined(df: DataFrame, rules: DataFrame, default: str = "allow", i
     out = out.withColumn("raw", F.regexp_extract("rest", r"^[^/?#]*", 0))
     out = out.withColumn("path", F.regexp_extract(F.expr("substring(rest, length(raw) + 1)"), r"^[^?#]*", 0))
     out = out.withColumn("host", F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).select("id", "host", "path")
-    keys = out.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
-    keys = keys.withColumn("h", F.explode(F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")))
-    keys = keys.withColumn("p", F.explode(F.expr("transform(sequence(0, length(path)), i -> substring(path, 1, i))")))
     table = rules.select(F.col("verdict").alias("v"), F.col("host").alias("h"), F.col("path").alias("p"))
-    best = F.max(F.struct(F.length(F.concat("h", "p")).alias("n"), (F.col("v") == "block").alias("block"), F.concat("h", "p").alias("rule"), "v"))
+    sizes = table.select("h", F.length("p").alias("n")).distinct()
+    places = out.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    keys = places.select("host", "path", F.explode(suffixes).alias("h")).join(sizes, "h").where(F.col("n") <= F.length("path"))
+    keys = keys.select("host", "path", "h", F.expr("substring(path, 1, n)").alias("p"))
+    text = F.concat("h", "p")
+    best = F.max(F.struct(F.length(text).alias("n"), (F.col("v") == "block").alias("block"), text.alias("rule"), "v"))
     found = keys.join(table, ["h", "p"]).groupBy("host", "path").agg(best.alias("x")).select("host", "path", "x.rule", "x.v")
     return out.join(found, ["host", "path"], "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict")

@@ -164,6 +164,28 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_equally_long_url_rules(spark):
+    """Both paths have one order of precedence, whatever the rules' lengths, numbers and order."""
+    assert url_filter.Trie([("allow", "net", "/en/abcdefgh"), ("block", "example.net", "/en/")]).find("example.net", "/en/abcdefgh") == ("block", "example.net/en/")
+    rng = random.Random(12)
+    host = lambda: ".".join(rng.choice(["a", "b", "net", ""]) for _ in range(rng.randint(1, 3)))
+    path = lambda: "".join(rng.choice(["/", "/", "x", "y", "é"]) for _ in range(rng.randint(0, 5)))
+    urls = [f"http://{host()}{'/' + path()}" for _ in range(150)]
+    rules = [(rng.choice(["allow", "block"]), host(), rng.choice(["", "/"]) + path()) for _ in range(120)]
+
+    def plain(url):
+        h, p = url_filter.split_url(url)
+        fits = [(v, a + b) for v, a, b in rules if ("." + h).endswith("." + a) and p.startswith(b)]
+        return max(fits, key=lambda r: (len(r[1]), r[0] == "block", r[1]), default=("allow", None))
+
+    want = {(i, *plain(u)) for i, u in enumerate(urls)}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    for found in (url_filter.judge_urls(df, rules), url_filter.judge_urls_joined(df, table)):
+        assert {(r.page_id, r.verdict, r.rule) for r in found.collect()} == want
+    assert len({r for _, _, r in want}) > 10
+
+
 def test_permutations(spark):
     ns = [1, 2, 3, 5, 10, 97, 1000]
     rows = spark.createDataFrame([(n, x) for n in ns for x in range(n)], "n long, x long").withColumn("y", mixing.permuted(F.col("x"), F.col("n"), F.lit(3)))
