@@ -3,7 +3,8 @@
 Bytes are embedded in ``WIDTH`` numbers; ``FILTERS`` filters over 8 bytes move by 4 through
 overlapping chunks of ``CHUNK`` bytes that cover the whole text. Each filter's responses are
 max-pooled in the chunk; the chunks' pooled values are combined by mean, max and min, and a
-logistic unit makes one probability of them. Trained with Adam on a bounded labelled sample.
+logistic unit makes one probability of them. Trained with Adam on a bounded labelled sample, of
+which long texts give pieces from all over them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from kelpie.llm.samples import remainder, sample_by_label
 
 CHUNK, OVERLAP, STEP = 512, 64, 4
 WIDTH, FILTERS = 8, 32
-#: Labelled texts of a class to learn from at most, and characters of each.
-SAMPLE, PIECE = 800, 2048
+#: Labelled texts of a class to learn from at most.
+SAMPLE = 800
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
 GOOD = 0.7
 #: Chunks that go through the network at a time.
@@ -111,8 +112,8 @@ class Network:
         }
 
 
-def train(texts: dict[int, list[str]], counts: dict[int, int] | None = None, seed: int = 3) -> Network:
-    """A network from {label: texts}. With one class or none it stays untrained.
+def train(texts: dict[int, list[list[str]]], counts: dict[int, int] | None = None, seed: int = 3) -> Network:
+    """A network from {label: texts}, each a list of pieces. With one class or none it stays untrained.
 
     Classes weigh alike in training; then the logit is moved by the log odds of ``counts``, so
     that the score is a probability where labels are as frequent as there.
@@ -129,9 +130,10 @@ def train(texts: dict[int, list[str]], counts: dict[int, int] | None = None, see
         order = rng.permutation(len(drawn))
         for i in range(0, len(order), BATCH):
             batch = [drawn[j] for j in order[i : i + BATCH]]
-            raw = [t.encode("utf-8", "replace") for t, _ in batch]
+            raw = [piece.encode("utf-8", "replace") for pieces, _ in batch for piece in pieces]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
             made, rows = chunks(np.frombuffer(b"".join(raw), np.uint8), offsets)
+            rows = rows[np.concatenate([[0], np.cumsum([len(pieces) for pieces, _ in batch])])]
             step += 1
             rate = RATE * (1 - step / (steps + 1))
             for k, g in net.gradients(made, rows, np.array([y for _, y in batch], np.float32)).items():
@@ -146,7 +148,10 @@ def train(texts: dict[int, list[str]], counts: dict[int, int] | None = None, see
 
 
 def score_quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of each row, from its whole text alone; a null text is empty."""
+    """id and score (0 to 1) of each row, from its whole text alone; a null text is empty.
+
+    Repeated rows are scored each, an empty table gives no rows, other columns are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from the labelled rows that aren't held out (crc32 of doc_id mod 4 is not 2)."""
     rows = labels.where(remainder("doc_id", 4) != 2).where("quality in (0, 1)")
     rows = rows.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
-    texts = sample_by_label(rows, "quality", SAMPLE, PIECE, texts=docs.select(F.col("doc_id").alias("id"), "text"))
+    texts = sample_by_label(rows, "quality", SAMPLE, texts=docs.select(F.col("doc_id").alias("id"), "text"))
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
     return train(texts, counts)
 

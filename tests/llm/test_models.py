@@ -80,10 +80,26 @@ def test_held_out_rule(spark):
 
 def test_sample_is_bounded_and_stable(spark):
     rows = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("label"), F.concat(F.lit("t"), "id").alias("text"))
-    one = samples.sample_by_label(rows, "label", 50, 10)
+    one = samples.sample_by_label(rows, "label", 50)
     assert {k: len(v) for k, v in one.items()} == {"x": 50, "y": 50}
-    assert one == samples.sample_by_label(rows.repartition(7), "label", 50, 10)
-    assert samples.sample_by_label(rows.limit(0), "label", 50, 10) == {}
+    assert one == samples.sample_by_label(rows.repartition(7), "label", 50)
+    assert samples.sample_by_label(rows.limit(0), "label", 50) == {}
+    same = rows.select(F.lit(1).alias("id"), "label", F.lit("one text").alias("text"))
+    assert samples.sample_by_label(same, "label", 50) == {"x": [["one text"]], "y": [["one text"]]}
+    nulls = rows.select(F.lit(None).cast("long").alias("id"), "label", "text")
+    assert {k: len(v) for k, v in samples.sample_by_label(nulls, "label", 50).items()} == {"x": 50, "y": 50}
+
+
+def test_pieces_come_from_all_over_a_text(spark):
+    n = 40_000
+    long = "".join(chr(0x4E00 + i % 20_000) for i in range(n))
+    rows = spark.createDataFrame([(i, "x", long + str(i)) for i in range(60)] + [(99, "x", "short")], "id long, label string, text string")
+    found = samples.sample_by_label(rows, "label", 100)["x"]
+    assert ["short"] in found and len(found) == 61
+    for part in range(4):
+        starts = {p[part][:8] for p in found if len(p) == 4}
+        places = [long.find(s) for s in starts]
+        assert len(starts) > 30 and all(len(p[part]) == 512 for p in found if len(p) == 4) and max(places) - min(places) > n // 8
 
 
 def _language(rng, stems):
@@ -102,14 +118,14 @@ def test_language_id(spark, odd_docs, no_docs):
     odd = language_id.identify(odd_docs, language_id.learn(odd_docs), keep=tuple(odd_docs.columns)).collect()
     assert len(odd) == odd_docs.count() and all(r.lang_pred == "und" and r.rejected for r in odd if r.doc_id in (3, 4, 5))
     assert language_id.identify(no_docs, language_id.learn(no_docs)).count() == 0
-    again = language_id.Coder({"a": b"x" * 100, "b": b"x" * 100})
+    again = language_id.Coder(language_id.Model({"a": b"x" * 100, "b": b"x" * 100}))
     assert again.predict("xxxx")[2] and again.predict("xxxx")[0] == "a" and again.predict("12 !")[0] == "und"
 
 
 def test_language_margins():
     rng = random.Random(6)
     stems = {"en": ["the", "ing", "tion", "wh", "ea", "st", "or"], "de": ["sch", "ung", "keit", "ein", "er", "st", "au"], "fr": ["eau", "ment", "oi", "que", "ai", "er", "on"]}
-    coder = language_id.Coder(language_id.fit({k: [_language(rng, v) for _ in range(300)] for k, v in stems.items()}))
+    coder = language_id.Coder(language_id.fit({k: [[_language(rng, v)] for _ in range(300)] for k, v in stems.items()}))
     for size in (2_000, 20_000):
         noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(size // 6)) for _ in range(30)]
         assert sum(coder.predict(x)[2] for x in noise) >= 28
@@ -119,6 +135,60 @@ def test_language_margins():
     assert len(tied) >= 5 and all(coder.predict(x)[::2] == (k, False) for k, x in tied)
 
 
+def test_narrow_leads_are_rejected():
+    """The least lead decides, as a share of the code length, at every size of text."""
+    rng = random.Random(3)
+    stems = {"en": ["the", "ing", "tion", "wh", "ea", "st", "or"], "fr": ["eau", "ment", "oi", "que", "ai", "er", "on"]}
+    model = language_id.fit({k: [[_language(rng, v)] for _ in range(300)] for k, v in stems.items()})
+    assert len(model.leads) == len(language_id.SIZES) and max(model.leads) < 0.5
+    text = " ".join(_language(rng, stems["en"]) for _ in range(40))
+    _, lead = language_id.Coder(model).lead(language_id.letters(text))
+    for share, rejected in ((0.9, False), (1.1, True)):
+        coder = language_id.Coder(model._replace(leads=(lead * share,) * len(language_id.SIZES)))
+        assert coder.predict(text)[::2] == ("en", rejected)
+    mixed = " ".join(x for _ in range(200) for x in (rng.choice(stems["en"]) * 2, rng.choice(stems["fr"]) * 2))
+    scores = [language_id.Coder(model).predict(t)[1] for t in (text, mixed)]
+    assert scores[0] > scores[1]
+
+
+def test_code_lengths_equal_a_plain_loop():
+    import zstandard
+
+    rng = random.Random(8)
+    dictionaries = {k: " ".join(rng.choice(v) for _ in range(400)).encode() for k, v in {"a": ["ab", "ba", "aab"], "b": ["xy", "yx", "xxy"]}.items()}
+    coder = language_id.Coder(language_id.Model(dictionaries))
+    for n in (1, 400, 3000):
+        data = language_id.letters(" ".join(rng.choice(["ab", "xy", "qq"]) for _ in range(n)))
+        want = []
+        for k in sorted(dictionaries):
+            params = zstandard.ZstdCompressionParameters.from_level(3, source_size=1024, dict_size=len(dictionaries[k]), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            whole = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            want.append(sum(len(whole.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+        assert all(abs(a - b) <= 2 for a, b in zip(coder.lengths(data), want, strict=True))
+
+
+def test_network_equals_a_plain_loop():
+    net = quality_cnn.Network(5)
+    texts = [b"", b"a short one", bytes(range(1, 200)) * 9]
+    got = net.probability(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    step, size, lap = quality_cnn.STEP, quality_cnn.CHUNK, quality_cnn.OVERLAP
+    for text, p in zip(texts, got, strict=True):
+        pooled, at = [], 0
+        while True:
+            chunk = text[at : at + size].ljust(size, b"\0")
+            best = np.full(quality_cnn.FILTERS, -np.inf)
+            for i in range(0, size - step, step):
+                window = np.concatenate([net.p["embed"][b] for b in chunk[i : i + 2 * step]])
+                best = np.maximum(best, window @ np.concatenate(list(net.p["kernel"])))
+            pooled.append(np.maximum(best + net.p["bias"], 0))
+            at += size - lap
+            if at + lap >= len(text):
+                break
+        pooled = np.array(pooled)
+        z = np.concatenate([pooled.mean(axis=0), pooled.max(axis=0), pooled.min(axis=0)]) @ net.p["weight"] + net.p["shift"][0]
+        assert p == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
 def test_network_gradients():
     net = quality_cnn.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
