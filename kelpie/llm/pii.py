@@ -12,7 +12,9 @@ No table marks personal data, so the trees learn from examples made by rule here
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 import uuid
@@ -205,6 +207,21 @@ def fit(seed: int = 11) -> tuple[BoostedTrees, dict[str, float]]:
     return trees, cuts
 
 
+class Overlaps:
+    """Spans by start, to be asked for those that overlap another."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans = sorted((s, e) for _, s, e in spans)
+        self.reach = list(itertools.accumulate((e for _, e in self.spans), max))
+
+    def of(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        at = bisect.bisect_left(self.spans, (end, 0)) - 1
+        while at >= 0 and self.reach[at] > start:
+            if self.spans[at][1] > start:
+                yield self.spans[at]
+            at -= 1
+
+
 class Finder:
     def __init__(self, trees: BoostedTrees, cuts: dict[str, float]):
         self.trees, self.cuts = trees, cuts
@@ -224,12 +241,16 @@ class Finder:
                     inner.add(j)  # a run of a longer value: the whole value goes first
                 else:
                     last, reach = (i, kind), end
+            base = {i: Overlaps(based[i]) for i, *_ in proposed}
             for j in sorted(good, key=lambda j: (j in inner, -p[j], proposed[j][2] - proposed[j][3])):
                 i, kind, start, end = proposed[j]
                 taken = chosen.setdefault(i, [])
+                at = bisect.bisect_left(taken, (start, end))  # by start; they don't overlap
+                free = (at == len(taken) or taken[at][0] >= end) and (at == 0 or taken[at - 1][1] <= start)
                 whole = lambda s, e: kind == "secret" and start <= s and e <= end and e - s < end - start  # noqa: E731  a base span, such as digits like a card's, within a secret
-                if all(end <= s or start >= e for _, s, e in taken) and all(end <= s or start >= e or whole(s, e) for _, s, e in based[i]):
-                    taken.append((kind, start, end))
+                if free and all(whole(s, e) for s, e in base[i].of(start, end)):
+                    taken.insert(at, (start, end, kind))
+            chosen = {i: [(k, s, e) for s, e, k in taken] for i, taken in chosen.items()}
         order = lambda span: (KINDS.index(span[0]), span[1])
         return [(b, sorted((*b, *chosen.get(i, ())), key=order)) for i, b in enumerate(based)]
 
@@ -270,6 +291,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans for each row.
 
     Whole texts are searched; a null text is empty. Positions are code points, ends exclusive.
+    Repeated rows are searched each, an empty table gives no rows, other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit())
 
@@ -289,18 +311,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with its texts redacted; null texts stay null, other columns are untouched."""
+    """``docs`` with its texts redacted; null texts stay null, other columns, whatever their names, are untouched.
+
+    Repeated rows are redacted each, an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit())
-    others = [c for c in docs.columns if c != text_col]
+    place = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*place.values())
 
     def make(batch, texts, found):
         nulls = K.column(batch, "text").is_null().to_pylist()
         made = [None if null else redact(t, a) for null, t, (_, a) in zip(nulls, texts, found, strict=True)]
-        return [*[K.column(batch, c) for c in others], pa.array(made, pa.string())]
+        return [pa.array(made, pa.string()) if c == "text" else K.column(batch, c) for c in place.values()]
 
-    renamed = docs.select(*others, F.col(text_col).alias("text"))
-    out = renamed.mapInArrow(_per_batch(sent, make, [*others, "text"]), renamed.schema)
-    return out.withColumnRenamed("text", text_col).select(*docs.columns)
+    return inner.mapInArrow(_per_batch(sent, make, list(place.values())), inner.schema).toDF(*docs.columns)
 
 
 def op4_pii_boosted(spark, sf_dir: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_pii_methods(odd_docs, no_docs):
     assert pii.redact_texts(no_docs).count() == 0 and pii.redact_texts(no_docs).columns == no_docs.columns
 
 
+def test_pii_with_clashing_names_and_many_spans(spark):
+    df = spark.createDataFrame([("a@b.com", "x@y.org", 1)], "text string, body string, c0 int")
+    assert tuple(pii.redact_texts(df, "body").first()) == ("a@b.com", "[EMAIL]", 1)
+    finder = pii.Finder(*pii.fit())
+    many = " ".join(f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" 10.0.0.{i % 256}' for i in range(3000))
+    (base, every), = finder.find([many])
+    assert len([s for s in every if s[0] == "secret"]) == len([s for s in base if s[0] == "ip"]) == 3000
+
+
 def test_long_secrets_and_short_accounts():
     rng = random.Random(9)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
