@@ -94,9 +94,9 @@ def test_long_secrets_and_short_accounts():
 
 @pytest.mark.parametrize("seed", range(2))
 def test_top_k_equals_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(kd_search, "SHARD", 60)
-    monkeypatch.setattr(kd_search, "LEAF", 8)
-    monkeypatch.setattr(kd_search, "QUERIES", 4)
+    monkeypatch.setattr(kd_search, "SHARD", 20)
+    monkeypatch.setattr(kd_search, "QUERIES", 2)
+    monkeypatch.setattr(kd_search, "ROUNDS", (1, 3))
     rng = np.random.default_rng(seed)
     rows = [(i, (rng.integers(-3, 4, 6) / 4.0).astype(np.float32).tolist() if i % 9 else [0.5] * 6) for i in range(250)]
     rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (350, [1.0, 2.0]), (351, [3.0, -1.0]), (None, [1.0] * 6), (400, []), (7, rows[7][1])]
@@ -112,6 +112,42 @@ def test_top_k_equals_brute_force(spark, seed, monkeypatch):
     assert not found
 
 
+def test_trees_are_built_once(spark, monkeypatch):
+    """A tree for each shard however many queries visit it, and one shuffle of the points; far cells aren't visited."""
+    monkeypatch.setattr(kd_search, "SHARD", 50)
+    monkeypatch.setattr(kd_search, "QUERIES", 5)
+    monkeypatch.setattr(kd_search, "ROUNDS", (1,))
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.random(3) + 4 * np.eye(3)[i % 3]).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tables, real = [], kd_search.cut
+    monkeypatch.setattr(kd_search, "cut", lambda d: tables.append((d, real(d))) or tables[-1][1])
+    found = kd_search.top_inner_products(df, F.lit(True)).collect()
+    (made, trees), = [t for t in tables if "nodes" in t[1].columns]
+    assert trees.count() == trees.select("dim", "cell", "sub").distinct().count() == len({(r.cell, r.sub) for r in trees.collect()}) >= 4
+    assert sum(len(r.ids) // 8 for r in trees.collect()) == 200
+    assert made._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    points = np.array([np.floor(256 * np.array(v)) for _, v in rows])
+    scores = points @ points.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.sort(scores, axis=1)[:, ::-1][:, :5]
+    assert sorted((r.query_id, r.rank, r.score) for r in found) == [(q, i + 1, int(best[q][i])) for q in range(200) for i in range(5)]
+
+
+def test_cells_split_at_medians():
+    rng = np.random.default_rng(2)
+    points = rng.random((4096, 5))
+    cells = kd_search.Cells(points, 16)
+    sizes = np.bincount(cells.of(points))
+    assert len(sizes) == cells.cells == 16 and sizes.min() > 200 and len(set(cells.of(points[:1].repeat(3, axis=0)).tolist())) == 1
+    same = kd_search.Cells(np.ones((100, 2)), 8)
+    assert same.cells == 1 and same.of(np.zeros((3, 2))).tolist() == [0, 0, 0]
+    tree = kd_search.Tree(np.arange(4096), points)
+    copy = kd_search.Tree.load(5, tree.dump())
+    query = rng.random((3, 5)).round(2)
+    assert tree.search(np.array([-1] * 3), query, 4, [[], [], []]) == copy.search(np.array([-1] * 3), query, 4, [[], [], []])
+
+
 def test_top_k_edges(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [2.0, 3.0]), (2, [-1e30, 1.0])], "vec_id long, embedding array<double>")
     rows = [tuple(r) for r in kd_search.top_inner_products(df, F.col("vec_id") == 0).orderBy("rank").collect()]
