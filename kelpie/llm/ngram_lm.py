@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from kelpie.llm import kernels as K
 from kelpie.llm.samples import remainder
+from kelpie.scratch import cut
 
 U = np.uint64
 #: Bytes of text in a block, and blocks at least.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 32
+#: Bytes of text whose n-grams a range holds, and ranges at least.
+RANGE_BYTES, LEAST_RANGES = 24 << 20, 32
 MU = 100.0
 _END = np.array([K.salt(0xE0D)], np.uint64)
 
@@ -83,64 +86,58 @@ def _edges(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
 
-ASKED = "part int, block int, k int, keys binary, counts binary"
-TOLD = "block int, part int, k int, totals binary, n long, v long"
+ASKED = "part int, block int, keys array<binary>, counts array<binary>"
+TOLD = "block int, part int, totals array<binary>, n long, v long"
+_LISTS = pa.list_(pa.binary())
 
 
-def _ask(parts: int, order: int):
-    """A block's distinct n-grams and their training counts, by hash range."""
+def _ask(ranges: int, order: int):
+    """A block's distinct n-grams of each order and their training counts, by hash range."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         words, rows = tokens(K.column(table, "text"))
         train = np.repeat(K.column(table, "train").to_numpy().astype(bool), np.diff(rows))
-        out: list[tuple] = []
-        for k, (hashes, real) in enumerate(grams(words, rows, order), 1):
+        each: list[tuple] = []
+        for hashes, real in grams(words, rows, order):
             keys, inverse = np.unique(hashes[real], return_inverse=True)
             counts = np.bincount(inverse, weights=train[real], minlength=len(keys)).astype(np.uint64)
-            cuts = [0, *np.searchsorted(keys, _edges(parts)), len(keys)]
-            for p in range(parts):
-                some = slice(cuts[p], cuts[p + 1])
-                out.append((p, k, _planes(np.diff(keys[some], prepend=U(0))), _planes(counts[some])))
-        block = key[0].as_py()
+            each.append((keys, counts, np.concatenate([[0], np.searchsorted(keys, _edges(ranges)), [len(keys)]])))
+        some = np.flatnonzero(sum(np.diff(cuts) for _, _, cuts in each)).tolist()
         return pa.table(
             {
-                "part": pa.array([o[0] for o in out], pa.int32()),
-                "block": pa.array([block] * len(out), pa.int32()),
-                "k": pa.array([o[1] for o in out], pa.int32()),
-                "keys": pa.array([o[2] for o in out], pa.binary()),
-                "counts": pa.array([o[3] for o in out], pa.binary()),
+                "part": pa.array(some, pa.int32()),
+                "block": pa.array([key[0].as_py()] * len(some), pa.int32()),
+                "keys": pa.array([[_planes(np.diff(keys[cuts[p] : cuts[p + 1]], prepend=U(0))) for keys, _, cuts in each] for p in some], _LISTS),
+                "counts": pa.array([[_planes(counts[cuts[p] : cuts[p + 1]]) for _, counts, cuts in each] for p in some], _LISTS),
             }
         )
 
     return run
 
 
-def _tell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _tell(order: int):
     """The totals of a hash range for each block that asked, and the range's share of N and V."""
-    ks, blocks = K.column(table, "k").to_numpy(), K.column(table, "block").to_numpy()
-    keys, counts = K.column(table, "keys"), K.column(table, "counts")
-    out: list[tuple] = []
-    for k in np.unique(ks):
-        at = np.flatnonzero(ks == k)
-        asked = [np.cumsum(_values(keys[int(i)].as_py())) for i in at]
-        found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.zeros(len(found), np.uint64)
-        np.add.at(totals, inverse, np.concatenate([_values(counts[int(i)].as_py()) for i in at]))
-        n, v = (int(totals.sum()), int((totals > 0).sum())) if k == 1 else (0, 0)
-        answer, start = totals[inverse], 0
-        for i, a in zip(at, asked, strict=True):
-            out.append((blocks[i], k, _planes(answer[start : start + len(a)]), n, v))
-            start += len(a)
-    return pa.table(
-        {
-            "block": pa.array([o[0] for o in out], pa.int32()),
-            "part": pa.array([key[0].as_py()] * len(out), pa.int32()),
-            "k": pa.array([o[1] for o in out], pa.int32()),
-            "totals": pa.array([o[2] for o in out], pa.binary()),
-            "n": pa.array([o[3] for o in out], pa.int64()),
-            "v": pa.array([o[4] for o in out], pa.int64()),
-        }
-    )
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out: list[list[bytes]] = [[] for _ in range(table.num_rows)]
+        n = v = 0
+        for k in range(order):
+            asked = [np.cumsum(_values(x[k].as_py())) for x in K.column(table, "keys")]
+            found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+            totals = np.zeros(len(found), np.uint64)
+            np.add.at(totals, inverse, np.concatenate([_values(x[k].as_py()) for x in K.column(table, "counts")]))
+            if k == 0:
+                n, v = int(totals.sum()), int((totals > 0).sum())
+            answer, start = totals[inverse], 0
+            for i, a in enumerate(asked):
+                out[i].append(_planes(answer[start : start + len(a)]))
+                start += len(a)
+        each = lambda x, kind: pa.array([x] * len(out), kind)
+        return pa.table(
+            {"block": K.column(table, "block"), "part": each(key[0].as_py(), pa.int32()), "totals": pa.array(out, _LISTS), "n": each(n, pa.int64()), "v": each(v, pa.int64())}
+        )
+
+    return run
 
 
 class Automaton:
@@ -222,16 +219,11 @@ class Automaton:
 SCORED = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, mu: float):
+def _score(order: int, mu: float, n: int, v: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         words, rows = tokens(K.column(docs, "text"))
-        part, ks = K.column(told, "part").to_numpy(), K.column(told, "k").to_numpy()
-        column, totals = K.column(told, "totals"), []
-        for k in range(1, order + 1):
-            at = np.flatnonzero(ks == k)
-            at = at[np.argsort(part[at])]
-            totals.append(np.concatenate([_values(column[int(i)].as_py()) for i in at] or [np.zeros(0, np.uint64)]))
-        n, v = (int(K.column(told, c).to_numpy().sum()) for c in ("n", "v"))
+        by_part, column = np.argsort(K.column(told, "part").to_numpy()), K.column(told, "totals")
+        totals = [np.concatenate([_values(column[int(i)][k].as_py()) for i in by_part] or [np.zeros(0, np.uint64)]) for k in range(order)]
         slice_ = Automaton(words, rows, totals, n, v, mu)
         each = slice_.at[1]
         sums = lambda x: np.add.reduceat(x, rows[:-1]) if len(rows) > 1 else np.zeros(0)
@@ -254,15 +246,19 @@ def score_texts(docs: DataFrame, train, order: int = 2, mu: float = MU, id_col:
 
     ``train`` is a boolean column of ``docs``: the rows that the model learns from. A null text is
     empty: its one token is the end. Repeated rows count and are scored each; an empty table gives
-    no rows; with no training rows every word is unknown. Scores don't depend on the blocks.
+    no rows; with no training rows every word is unknown. Scores don't depend on the blocks. Other
+    columns are not read. Ids are meant to be unique: rows equal in id and text share a block.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-    asked = docs.groupBy("block").applyInArrow(_ask(parts, order), ASKED)
-    told = asked.groupBy("part").applyInArrow(_tell, TOLD)
-    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, mu), SCORED).withColumnRenamed("id", id_col)
+    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    asked = docs.groupBy("block").applyInArrow(_ask(ranges, order), ASKED)
+    told = cut(asked.groupBy("part").applyInArrow(_tell(order), TOLD))
+    sums = told.select("part", "n", "v").distinct().agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, mu, sums["n"] or 0, sums["v"] or 0), SCORED)
+    return scored.withColumnRenamed("id", id_col)
 
 
 def op2_backoff_automaton(spark, sf_dir: str) -> DataFrame:
