@@ -1,11 +1,13 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every source's words, in a pseudorandom order of its documents, are cut into blocks of
-``block`` words. The mix is a row of slots dealt to output shards of ``shard`` slots each. A
-slot of source s is a pair (s, j), j < n_s; a pseudorandom permutation of all slots gives its
-place, so each shard's counts by source are a multinomial draw conditional on the totals n_s,
-which meet the targets to within a block. Slot (s, j) reads block p_s(j mod blocks of s) with a
-permutation p_s for each source: every block is read once before any is read again.
+``block`` words. The mix is a row of slots in a power of two of output shards. Each shard's counts
+by source are a multinomial draw whose sums over all shards are fixed: a source's slots are halved
+binomially down a binary tree of shards, with a draw for each node from the seed, so any shard's
+counts and slots can be made without the others. Slot j of a source reads block p(j mod blocks)
+with a pseudorandom permutation p for each source and epoch: every block is read once before any is
+read again, the short block at a source's end last. A source's last slot is cut to what its target
+leaves, so the words taken of it are its target, rounded.
 
 Permutations are keyed Feistel networks on a grid of just over n cells with cycle walking, so
 no index table is built, sorted or sent anywhere.
@@ -13,16 +15,20 @@ no index table is built, sorted or sent anywhere.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Each source's documents are ordered within so many parts, so that no task orders a whole source.
-PARTS = 256
-#: Slots of a source are numbered in runs of this length, and so many slots are made in a task.
-RUN, MADE = 1 << 14, 1 << 20
+#: Each source's documents are ordered within parts, one for so many rows of the table, so that no task orders a whole source.
+PART_ROWS = 50_000
+#: Slots that are made in a task.
+MADE = 1 << 20
+#: Slots up to which halves are drawn exactly, by so many random bits; beyond by the normal distribution.
+BITS = 48
 
 
 def words_in(text: Column) -> Column:
@@ -48,8 +54,18 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.when(once < n, once).otherwise(walked)
 
 
+def halved(n: Column, *key: Column) -> Column:
+    """A draw from the binomial distribution of ``n`` tosses of a fair coin, by the hash of ``key``."""
+    bits = lambda i: F.xxhash64(*key, F.lit(i))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(BITS)).cast("int")) - 1
+    unit = lambda i: (F.pmod(bits(i), F.lit(1 << 52)) + 1) / float(1 << 52)
+    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
+    drawn = F.round(n / 2 + normal * F.sqrt(n.cast("double")) / 2).cast("long")
+    return F.when(n <= BITS, F.bit_count(bits(0).bitwiseAND(mask)).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(n, drawn)))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, block: int) -> DataFrame:
-    """source, sid, source_size, target, n_blocks, n_slots, first_slot, all_slots; a row a source.
+    """source, sid, source_size, target, n_full, n_blocks, n_slots, last_words (of the last slot); a row a source.
 
     Sources by code point, null last, have the ``weights`` in turn and share ``share`` times all
     words; a target stops at ``most`` times its source's size, and what is above goes to the
@@ -74,19 +90,21 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
         F.sum(F.when(F.col("capped"), 0.0).otherwise(F.col("w"))).over(everything),
     )
     sources = sources.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", rest * F.col("w"))))
-    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    slots = F.round(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size"))).cast("long")
-    sources = sources.withColumn("n_slots", F.coalesce(slots, F.lit(0)))
+    size, wanted = F.col("source_size"), F.round("target").cast("long")
+    whole = F.coalesce(F.call_function("div", wanted, F.nullif(size, F.lit(0))), F.lit(0)).cast("long")
+    rest = F.greatest(wanted - whole * size, F.lit(0))
+    last = F.ceil(rest / block).cast("long")
+    sources = sources.withColumns({"n_full": F.floor(size / block).cast("long"), "n_blocks": F.ceil(size / block).cast("long")})
     return sources.select(
-        "source", "sid", "source_size", "target", "n_blocks", "n_slots",
-        (F.sum("n_slots").over(Window.orderBy("sid")) - F.col("n_slots")).alias("first_slot"),
-        F.sum("n_slots").over(everything).alias("all_slots"),
+        "source", "sid", "source_size", "target", "n_full", "n_blocks", (whole * F.col("n_blocks") + last).alias("n_slots"),
+        F.when(rest > 0, rest - (last - 1) * block).otherwise(block).alias("last_words"),
     )
 
 
 def placed(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """The documents with ``sid``, ``source_size``, ``target`` and ``start``: the words of their source before them."""
-    sized = sized.withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("part", F.pmod("at", F.lit(PARTS)))
+    n_parts = -(-sized.count() // PART_ROWS) or 1
+    sized = sized.withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("part", F.pmod("at", F.lit(n_parts)))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")).toDF("s", "p", "part_size")
     base = F.sum("part_size").over(Window.partitionBy("s").orderBy("p")) - F.col("part_size")
     parts = parts.withColumn("base", base).drop("part_size")
@@ -97,23 +115,42 @@ def placed(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return out.withColumn("start", F.col("base") + F.col("within")).drop("at", "part", "within", "base", "s", "p")
 
 
-def slots(sources: DataFrame, shard: int, seed: int) -> DataFrame:
-    """sid, block, epoch, shard, place; a row a slot of the mix."""
-    runs = sources.where("n_slots > 0").select(
-        "sid", "n_blocks", "n_slots", "first_slot", "all_slots",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN).cast("long"))).alias("run"),
-    )
-    # A number, so that the few bytes of the runs aren't gathered in one task that then makes all slots.
-    total = sources.agg(F.max("all_slots")).first()[0] or 0
-    runs = runs.repartition(-(-total // MADE) or 1, "sid", "run")
-    each = runs.withColumn("j", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "n_slots") - 1)))
-    place = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(seed))
-    block = permuted(F.pmod("j", "n_blocks"), F.col("n_blocks"), F.struct(F.lit(seed), "sid"))
-    each = each.withColumns({"place": place, "block": block})
-    return each.select(
-        "sid", "block", F.floor(F.col("j") / F.col("n_blocks")).alias("epoch"),
-        F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard).cast("long")).alias("place"),
-    )
+def drawn(sources: DataFrame, shard: int, seed: int) -> DataFrame:
+    """Each shard's draw: sid, n_full, n_blocks, n_slots, last_words, shard, first, count (if not 0).
+
+    A source's slots in a shard are ``first`` .. ``first + count - 1``. Counts of a source are a draw
+    of its slots over shards of equal chances; a shard has about ``shard`` slots or up to half fewer.
+    """
+    total = sources.agg(F.sum("n_slots")).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(max(1, total) / shard)))
+    low = levels // 2
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << n) - 1)))
+    rows = sources.where("n_slots > 0").select("sid", "n_full", "n_blocks", "n_slots", "last_words", numbers(levels - low).alias("high"))
+    # A number, so that the few bytes of these rows aren't gathered in one task that then makes all slots.
+    rows = rows.repartition(-(-total // MADE) or 1, "sid", "high").select("*", numbers(low).alias("low"))
+    rows = rows.withColumn("shard", F.col("high") * (1 << low) + F.col("low")).drop("high", "low")
+
+    def step(held: Column, level: Column) -> Column:
+        left = halved(held["n"], F.lit(seed), F.col("sid"), held["node"])
+        right = F.call_function("shiftright", F.col("shard"), (F.lit(levels - 1) - level).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.struct(
+            F.when(right, held["n"] - left).otherwise(left).alias("n"), F.when(right, held["first"] + left).otherwise(held["first"]).alias("first"),
+            (held["node"] * 2 + F.when(right, 1).otherwise(0)).alias("node"),
+        )
+
+    start = F.struct(F.col("n_slots").alias("n"), F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("node"))
+    at = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step) if levels else start
+    return rows.withColumn("draw", at).select("*", F.col("draw.first").alias("first"), F.col("draw.n").alias("count")).drop("draw").where(F.col("count") > 0)
+
+
+def slots(draws: DataFrame, block: int, seed: int) -> DataFrame:
+    """sid, block, words (that the slot reads), epoch, shard, place (a key of the order in the shard); a row a slot of the mix."""
+    each = draws.withColumn("j", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
+    each = each.withColumns({"epoch": F.floor(F.col("j") / F.col("n_blocks")), "i": F.pmod("j", "n_blocks")})
+    full = F.greatest("n_full", F.lit(1))  # so that no branch divides by 0
+    at = F.when(F.col("i") < F.col("n_full"), permuted(F.pmod("i", full), full, F.struct(F.lit(seed), "sid", "epoch"))).otherwise(F.col("i"))
+    words = F.when(F.col("j") == F.col("n_slots") - 1, F.col("last_words")).otherwise(block)
+    return each.select("sid", at.alias("block"), words.cast("long").alias("words"), "epoch", "shard", F.xxhash64(F.lit(seed), "sid", "j").alias("place"))
 
 
 def mixture(
@@ -129,20 +166,23 @@ def mixture(
 ) -> DataFrame:
     """What the mix reads: a row for each slot and each document of its block.
 
-    Input: doc_id, source, text (or ``size``, a column of sizes); ``carry`` names columns to keep.
-    Output: doc_id, source, carried columns, size, sid, source_size, target, start (the document's
-    first word in its source), from_word and n_words (the piece of the document), block, epoch
-    (how often the block was read before), shard and place. Pieces that no slot reads, and
-    documents without words, have null epoch, shard and place. A null text has size 0, null is a
-    source like others, repeated rows are separate documents; an empty table gives no rows.
-    ``most`` is a whole number: no document is read more often. Equal input gives equal output,
-    whatever the partitions.
+    Input: doc_id, source, text (or ``size``, a column of sizes); ``carry`` names columns to keep,
+    none that is made here (a ValueError). Output: doc_id, source, carried columns, size, sid,
+    source_size, target, start (the document's first word in its source), from_word and n_words
+    (the piece of the document), block, epoch (how often the block was read before), shard and
+    place (a key of the order in the shard). Pieces that no slot reads, that a cut slot leaves out,
+    and documents without words have null epoch, shard and place. A null text has size 0, null is a
+    source like others, repeated rows are separate documents; an empty table gives no rows. Sources
+    are few enough for one task to order a row of each. ``most`` is a whole number: no document is
+    read more often. Equal input gives equal output, whatever the partitions.
     """
+    if clash := set(carry) & {"doc_id", "source", "size", "sid", "source_size", "target", "start", "from_word", "n_words", "block", "epoch", "shard", "place", "at", "part", "within", "base", "s", "p", "words"}:
+        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     size = words_in(F.col("text")) if size is None else size
     sized = docs.select("doc_id", "source", *carry, size.cast("long").alias("size"))
     if "text" in docs.columns:
         sized = cut(sized)  # three plans read the sizes; the texts are read once
-    sources = source_targets(sized.select("source", "size"), weights, share, most, block)
+    sources = cut(source_targets(sized.select("source", "size"), weights, share, most, block))
     at = placed(sized, sources, seed)
     last = F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     first = F.floor(F.col("start") / block).cast("long")
@@ -155,7 +195,10 @@ def mixture(
         }
     )
     # Both sides come out of explode(), whose output the planner takes for small: never a broadcast.
-    return pieces.join(slots(sources, shard, seed).hint("merge"), ["sid", "block"], "left")
+    met = pieces.join(slots(drawn(sources, shard, seed), block, seed).hint("merge"), ["sid", "block"], "left")
+    room = F.coalesce(F.col("block") * block + F.col("words") - F.col("start") - F.col("from_word"), F.lit(0))
+    read = {c: F.when(room > 0, F.col(c)) for c in ("epoch", "shard", "place")}
+    return met.withColumns(read | {"n_words": F.when(room > 0, F.least("n_words", room)).otherwise(F.col("n_words"))}).drop("words")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -164,7 +207,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Columns are those of ``docs`` (doc_id, text, source and others, n_chars recomputed if there);
     text has the blocks read in that epoch, in order, with the white space after each word.
     Texts cross the network once: rows are matched by id and a hash of source and text, and
-    repeated rows by their number. Documents that no slot reads are not in the mix.
+    repeated rows by their number. Documents that no slot reads, null and wordless ones among them,
+    are not in the mix; an empty table gives no rows; other columns may have any names.
     """
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*place.values())  # so that no column's name clashes with those made here
