@@ -9,11 +9,12 @@
 4. Pairs whose signatures leave the threshold possible are verified on the full sets, and
    confirmed links are grouped by star contraction.
 5. Buckets that still hold several components may hide links between them. Their members are
-   packed in blocks, and blocks are compared by signature within the bucket. A member that may
-   be linked with one of another component asks for that member's home block (of its component, if
-   large, else of its surroundings) and is compared there with the full sets of the whole block.
-   So rows are made for members and blocks, not for pairs, and a link is lost only if no band or the signature estimate shows it: the number of
-   bands is set so that this has a chance under ``MISS`` at the threshold itself.
+   packed in cells of ``CELL``, and cells are compared by signature, each two of a bucket in a task
+   of their own. A member that may be linked with one of another component asks for that member's
+   home block (of its component, if large, else of its surroundings) and is compared there with the
+   full sets of the whole block. So rows are made for members, cells and blocks, not for pairs, and
+   a link is lost only if no band or the signature estimate shows it: the number of bands is set so
+   that this has a chance under ``MISS`` at the threshold itself.
 """
 
 from __future__ import annotations
@@ -35,13 +36,17 @@ ROWS = 4
 MISS = 1e-5
 #: A pair is verified if its estimated similarity is at most so many standard errors too low.
 ERRORS = 6
-#: Members to a block of a bucket or component, and members that ask for a block, at a time.
-BLOCK, ASKING = 256, 1024
+#: Members to a home block, and members that ask for a block, at a time.
+BLOCK, ASKING = 256, 256
+#: Members of a bucket that are compared by signature with so many others at a time.
+CELL = 1024
+#: Parts of the rows that ask for one block, while they are numbered.
+SALTS = 8
 _FRACTION = U(40)
 
 
 def bands_for(percent: int) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    return math.ceil(math.log(MISS) / math.log(1 - min(0.99, percent / 100) ** ROWS))
 
 
 def superminhash(hashes: np.ndarray, rows: np.ndarray, m: int) -> np.ndarray:
@@ -73,7 +78,7 @@ def superminhash(hashes: np.ndarray, rows: np.ndarray, m: int) -> np.ndarray:
             break
         if permutation is None:
             k0, count = k[go], int(go.sum())
-            permutation = np.broadcast_to(np.arange(m, dtype=np.uint8), (count, m)).copy()
+            permutation = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (count, m)).copy()
             at = np.arange(count)
             permutation[at, k0] = 0
             permutation[at, 0] = k0
@@ -182,33 +187,33 @@ def _estimated(percent: int, m: int):
 def _asks(percent: int, m: int):
     """(y, places): members and the blocks (anchor, blk) of other components that they may be linked with.
 
-    Of two components the smaller asks. A bucket tells each member's places in one row, so that
+    Of two components the smaller asks. A row tells each member's places at once, so that
     places which several buckets tell become one before they are spread out.
 
-    Input: rows of two cells, each the members of a block of a bucket.
+    Input: rows of one cell of a bucket, which is compared with itself, or of two.
     """
     least = math.ceil(_possible(percent, m) * m)
 
-    def arrays(cell):
-        numbers = [np.array([x[c] for x in cell], np.int64) for c in ("id", "root", "csize", "anchor", "blk", "n")]
-        return *numbers, np.frombuffer(b"".join(x["sig"] for x in cell), np.uint8).reshape(-1, m)
+    def arrays(cell: pa.StructArray) -> list[np.ndarray]:
+        return [*(cell.field(c).to_numpy() for c in ("id", "root", "csize", "anchor", "blk", "n")), K.buffers(cell.field("sig"))[0].reshape(-1, m)]
+
+    def pairs(a: list[np.ndarray], b: list[np.ndarray], itself: bool) -> Iterator[np.ndarray]:
+        """(y, anchor, blk) of the pairs that may be linked, for each member of the first cell."""
+        for i in range(len(a[0])):
+            others = slice(i + 1 if itself else 0, None)
+            ok = np.flatnonzero((b[1][others] != a[1][i]) & (100 * np.minimum(b[5][others], a[5][i]) >= percent * np.maximum(b[5][others], a[5][i]))) + (others.start)
+            if len(ok):
+                ok = ok[np.count_nonzero(b[6][ok] == a[6][i], axis=1) >= least]
+            if len(ok):
+                larger = (a[2][i] > b[2][ok]) | ((a[2][i] == b[2][ok]) & (a[1][i] < b[1][ok]))
+                yield np.unique(np.stack([np.where(larger, b[0][ok], a[0][i]), *(np.where(larger, a[c][i], b[c][ok]) for c in (3, 4))]), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[np.ndarray] = []
-            for left, right in zip(K.column(batch, "left"), K.column(batch, "right"), strict=True):
-                a, b = arrays(left.as_py()), arrays(right.as_py())
-                found = []
-                for i in range(len(a[0])):
-                    ok = np.flatnonzero((b[1] != a[1][i]) & (100 * np.minimum(b[5], a[5][i]) >= percent * np.maximum(b[5], a[5][i])))
-                    if len(ok):
-                        ok = ok[(b[6][ok] == a[6][i]).sum(axis=1) >= least]
-                    if len(ok):
-                        here = [np.full(len(ok), c[i]) for c in a[:5]]
-                        there = [c[ok] for c in b[:5]]
-                        larger = (here[2] > there[2]) | ((here[2] == there[2]) & (here[1] < there[1]))
-                        x = [np.where(larger, h, t) for h, t in zip(here, there, strict=True)]
-                        found.append(np.unique(np.stack([np.where(larger, there[0], here[0]), x[3], x[4]]), axis=1))
+            for row in K.column(batch, "cells"):
+                cells = [arrays(cell.values) for cell in row.values]
+                found = list(pairs(cells[0], cells[-1], len(cells) == 1))
                 if found:
                     out.append(np.unique(np.concatenate(found, axis=1), axis=1))
             rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
@@ -264,12 +269,15 @@ def near_duplicates(
 
     Texts are linked if 100 * |A n B| >= percent * |A u B| for their sets of distinct
     ``words``-word shingles; a text of fewer words is one shingle, a null or wordless text has an
-    empty set and is linked with nothing. Ids are meant to be unique: rows that share one have a
+    empty set and is linked with nothing. ``percent`` is 40 or more, so that a signature's slots have
+    numbers of 16 bits (a ValueError below). Ids are meant to be unique: rows that share one have a
     row each, and a link of one may count for the others. A row whose id is null belongs to no
     group (component_id null, kept). Other columns of ``docs`` are not read; an empty table gives
     no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not 40 <= percent <= 100:
+        raise ValueError("percent is between 40 and 100")
     bands = bands_for(percent)
     m = bands * ROWS
     sketch = cut(docs.mapInArrow(_sketch(words, bands), SKETCH))
@@ -319,20 +327,23 @@ def near_duplicates(
     packed = cut(
         rooted.join(mixed, "key")
         .join(sigs, "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("n") / BLOCK)))
-        .groupBy("key", "block")
+        .withColumn("of", F.ceil(F.col("n") / CELL))
+        .withColumn("at", F.pmod(F.xxhash64("rep", F.lit(1)), "of"))
+        .groupBy("key", "of", "at")
         .agg(F.collect_list(member).alias("cell"))
     )
-    met = packed.select("key", "block", F.col("cell").alias("left")).join(
-        packed.select("key", F.col("block").alias("other"), F.col("cell").alias("right")), "key"
-    )
-    told = met.where("block <= other").select("left", "right").mapInArrow(_asks(percent, m), "y long, places array<struct<anchor:long,blk:long>>")
+    # Of a bucket of several cells each two meet under a key of their own, so no task has all of a bucket.
+    spread = packed.where("of > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    spread = spread.groupBy("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi")).agg(F.collect_list("cell").alias("cells"))
+    met = packed.where("of = 1").select(F.array("cell").alias("cells")).unionByName(spread.where("lo = hi or size(cells) = 2").select("cells"))
+    told = met.mapInArrow(_asks(percent, m), "y long, places array<struct<anchor:long,blk:long>>")
     told = told.groupBy("y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    asks = cut(told.select("y", F.explode("places").alias("x")).select("y", "x.anchor", "x.blk"))
+    asks = cut(told.select("y", F.explode("places").alias("x")).select("y", "x.anchor", "x.blk").withColumn("salt", F.pmod(F.xxhash64("y", F.lit(2)), F.lit(SALTS))))
     place = ["anchor", "blk", "chunk"]
-    loads = asks.groupBy("anchor", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks"))
+    loads = cut(asks.groupBy("anchor", "blk").agg(F.ceil(F.count("*") / ASKING).alias("chunks")))
+    salted = loads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     asking = (
-        asks.join(loads, ["anchor", "blk"])
+        asks.join(salted, ["anchor", "blk", "salt"])
         .select(F.col("y").alias("id"), "anchor", "blk", F.pmod(F.xxhash64("y"), "chunks").alias("chunk"))
         .join(homes.select(F.col("rep").alias("id"), "root"), "id")
         .join(sets, "id")
@@ -348,7 +359,7 @@ def near_duplicates(
     asking, blocks = fresh(asking), fresh(blocks)
     more = cut(asking.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInArrow(_meet(percent), "a long, b long"))
     roots = components(links.unionByName(more))
-    drop(members, sets, packed, asks, homes)
+    drop(members, sets, packed, asks, loads, homes, links, more)
     return (
         sketch.select("id", *same)
         .join(reps.select(*same, "rep"), same, "left")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -29,6 +30,29 @@ def brute(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
+def exact_groups(rows, k, percent):
+    """As :func:`brute`, by an exact join: sets meet under the rarest shingles of each, one more than may differ."""
+    sets = {i: shingle_set(t, k) for i, t in rows}
+    often = Counter(s for held in sets.values() for s in held)
+    root, index = {i: i for i in sets}, defaultdict(list)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        mine = sets[i]
+        first = sorted(mine, key=lambda s: (often[s], s))[: len(mine) - -(-percent * len(mine) // 100) + 1]
+        for j in {j for s in first for j in index[s]}:
+            if find(i) != find(j) and 100 * len(mine & sets[j]) >= percent * len(mine | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        for s in first:
+            index[s].append(i)
+    return {i: (len(held), find(i)) for i, held in sets.items()}
+
+
 def corpus(seed, n=120):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
@@ -53,6 +77,48 @@ def test_equals_brute_force(spark, seed, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """Very many distinct texts that share most of their words, so buckets hold all of them, with links among some."""
+    monkeypatch.setattr(near_dup, "CELL", 100)
+    monkeypatch.setattr(near_dup, "ASKING", 20)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    shared = [word() for _ in range(90)]
+    rows = []
+    for i in range(900):
+        own = [word() for _ in range(14)]
+        if i % 9 == 4:
+            own = rows[rng.randrange(len(rows))][1].split()[90:]
+            own[rng.randrange(14)] = word()
+        rows.append((i, " ".join(shared + own)))
+    rng.shuffle(rows)
+    want = exact_groups(rows, 3, 85)
+    assert want == brute(rows[:0] + rows, 3, 85)
+    groups = Counter(r for _, r in want.values())
+    assert len(groups) > 500 and max(groups.values()) > 1
+    tables, real = [], near_dup.cut
+    monkeypatch.setattr(near_dup, "cut", lambda d, *a: tables.append(real(d, *a)) or tables[-1])
+    sizes = []
+    monkeypatch.setattr(near_dup, "drop", lambda *t: sizes.extend(r["n"] for x in t if "cell" in x.columns for r in x.selectExpr("size(cell) AS n", "of").where("of > 1").collect()))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert sizes and max(sizes) < 160  # cells of large buckets, none of them a whole bucket
+
+
+def test_long_signatures(spark):
+    """At a low threshold signatures have more slots than a byte can number."""
+    assert near_dup.bands_for(60) * near_dup.ROWS > 256
+    one = near_dup.superminhash(np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([0, 3999]), 332)
+    assert int(one.max() >> np.uint64(40)) < 3  # all slots are filled in the first steps
+    single = near_dup.superminhash(np.array([7], np.uint64), np.array([0, 1]), 332)
+    assert sorted((single[0] >> np.uint64(40)).tolist()) == list(range(332))
+    rows = corpus(4, 60)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 3, 60)
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 30)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = near_dup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -103,3 +169,18 @@ def test_word_hashes_follow_the_word_rule():
     assert np.diff(rows).tolist() == [len(r.split()) for r in raw]
     assert len(set(hashes.tolist())) == len(set(words)) and {w: h for w, h in zip(words, hashes.tolist(), strict=True)} == dict(zip(words, hashes.tolist(), strict=True))
     assert hashes[0] == hashes[2] == hashes[-2]
+
+
+if __name__ == "__main__":
+    # python tests/llm/test_near_dup.py FOLDER: op1's groups on a folder of tables against those of the exact join.
+    import sys
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import SparkSession
+
+    folder = sys.argv[1]
+    table = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"])
+    want = exact_groups(list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)), 3, 85)
+    session = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "32").getOrCreate()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.op1_superminhash(session, folder).collect()}
+    print(len(want), "documents,", len({r for _, r in want.values()}), "groups,", sum(got[i] != x for i, x in want.items()), "documents differ")
