@@ -12,17 +12,18 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm import kernels as K
 from kelpie.llm.mixing import words_in
+from kelpie.scratch import cut
 
 CAPACITY = 2048
 #: Documents of one source in a bin at most: so many bitmaps of sources does a bin carry.
 PER_SOURCE = 4
-#: Documents of a shard.
-SHARD = 4096
+#: Documents of a shard, and bytes of text where texts are packed, about.
+SHARD, SHARD_BYTES = 4096, 64 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -110,7 +111,7 @@ def _pack_shard(capacity: int, per_source: int, with_text: bool):
             **{n: pa.array([f[i] for f in found], pa.int64()) for i, n in ((3, "bin"), (4, "offset"), (1, "from_word"), (2, "n_words"))},
         }
         if with_text:
-            texts = K.column(table, "text")
+            texts = K.column(table, "text").cast(pa.large_string())
             held: dict[int, list[str]] = {}
             pieces = []
             for d, start, n, _, _ in found:
@@ -138,12 +139,23 @@ def pack_documents(
     one never share a bin, nor do over ``per_source`` documents of one source; null is a source
     like others, a null cluster conflicts with none. Pieces of one long document fill bins of
     their own. A null or wordless text has no piece; repeated rows are packed each; an empty table
-    gives no rows. The result depends on the rows alone, not on their order or partitions.
+    gives no rows. The result depends on the rows alone, not on their order or partitions. Shards
+    are as many as rows and bytes ask for. Rows equal in id and size share a shard; where over
+    ``SHARD`` rows share an id, each so many of them are a part of their own. Other columns are not read.
     """
     size = words_in(F.col("text")) if size is None else size
     kept = docs.select("doc_id", "source", size.cast("long").alias("size"), cluster.cast("long").alias("cluster"), *(["text"] if with_text else []))
-    shards = max(1, -(-docs.count() // SHARD))
-    kept = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int"))
+    held = docs.agg(F.count("*").alias("n"), (F.sum(F.octet_length("text")) if with_text else F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-held["n"] // SHARD), -(-(held["bytes"] or 0) // SHARD_BYTES))
+    often = cut(docs.groupBy("doc_id").count().where(F.col("count") > SHARD).select(F.col("doc_id").alias("often")))
+    if often.isEmpty():
+        kept = kept.withColumn("part", F.lit(0))
+    else:
+        same = F.col("doc_id").eqNullSafe(F.col("often"))
+        order = Window.partitionBy("doc_id").orderBy(*[c for c in kept.columns if c != "doc_id"])
+        many = kept.join(often, same, "left_semi").withColumn("part", F.floor((F.row_number().over(order) - 1) / SHARD).cast("int"))
+        kept = kept.join(often, same, "left_anti").withColumn("part", F.lit(0)).unionByName(many)
+    kept = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "part"), F.lit(shards)).cast("int")).drop("part")
     return kept.groupBy("shard").applyInArrow(_pack_shard(capacity, per_source, with_text), PIECES + (", text string" if with_text else ""))
 
 

@@ -366,6 +366,19 @@ def test_pack_documents(odd_docs, no_docs):
     assert packing.pack_documents(no_docs, packing.text_cluster()).count() == 0
 
 
+def test_packing_of_very_many_rows_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    rows = [(1 if i % 2 else None, "a", 7) for i in range(400)] + [(i, "b", i % 9) for i in range(2, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    found = packing.pack_documents(docs, F.col("doc_id"), capacity=20, size=F.col("size"))
+    assert Counter(r.doc_id for r in found.collect()) == Counter(i for i, _, n in rows if n)
+    assert found.where("doc_id = 1").groupBy("shard", "bin").count().where("count > 1").isEmpty()
+    loads = {r.shard: r["count"] for r in found.groupBy("shard").count().collect()}
+    assert len(loads) > 5 and max(loads.values()) <= 200
+    again = packing.pack_documents(docs.repartition(7), F.col("doc_id"), capacity=20, size=F.col("size"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, again.collect()))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from kelpie.llm import language_id, near_dup
