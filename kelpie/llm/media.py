@@ -8,7 +8,10 @@ another's data are carved out as embedded media.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -121,9 +124,12 @@ def _gzip(b: bytes, at: int) -> int:
     packed = zlib.decompressobj(31)
     place, view = at, memoryview(b)
     try:
-        while place < len(b) and not packed.eof:
-            packed.decompress(view[place : place + 65536])
-            place += 65536
+        while not packed.eof and (place < len(b) or packed.unconsumed_tail):
+            if packed.unconsumed_tail:  # at most so much output at a time, however well it was packed
+                packed.decompress(packed.unconsumed_tail, 1 << 20)
+            else:
+                packed.decompress(view[place : place + 65536], 1 << 20)
+                place += 65536
     except zlib.error:
         return 0
     return min(place, len(b)) - len(packed.unused_data) - at if packed.eof else 0
@@ -146,9 +152,18 @@ def _zip(b: bytes, at: int) -> int:
     return place + 22 + note - at if n == files == entries and size == place - start and offset == start - at and place + 22 + note <= len(b) else 0
 
 
+@functools.lru_cache(maxsize=1)
+def _marks(b: bytes) -> tuple[list[int], list[int]]:
+    """Where the value has ``startxref`` and ``%%EOF``, searched once for all that may begin in it."""
+    return [m.start() for m in re.finditer(b"startxref", b)], [m.start() for m in re.finditer(b"%%EOF", b)]
+
+
 def _pdf(b: bytes, at: int) -> int:
-    end, start = b.find(b"%%EOF", at), b.find(b"startxref", at)
-    return end + 5 - at if 0 <= start < end and b[at + 5 : at + 6].isdigit() else 0
+    """To the first end mark after the first cross reference."""
+    starts, ends = _marks(b)
+    i, j = bisect.bisect_left(starts, at), bisect.bisect_left(ends, at)
+    ok = i < len(starts) and j < len(ends) and starts[i] < ends[j] and b[at + 5 : at + 6].isdigit()
+    return ends[j] + 5 - at if ok else 0
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -213,7 +228,12 @@ SNIFFED = "id long, declared string, type string, length long, corrected boolean
 
 
 def sniff_media(df: DataFrame, id_col: str, bytes_col: str, declared_col: str | None = None) -> DataFrame:
-    """id, declared, type, length, corrected (a valid type other than declared), embedded."""
+    """id, declared, type, length, corrected (a valid type other than declared), embedded; a row for each row of ``df``.
+
+    Null, empty and invalid values are of ``UNKNOWN`` type and correct nothing; a null declared type
+    is corrected by any valid one. Repeated rows are sniffed each, an empty table gives no rows,
+    other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.struct([("type", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
@@ -274,11 +294,16 @@ def features(samples: bytes, kind: str, embedded: list) -> str:
     return f"{kind};s={len(samples) / RATE:.3f};mean={mean:.4f};dev={deviation:.4f};bits={-(some * np.log2(some)).sum() + 0.0:.4f};cross={crossings};in={inner}"
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, type string, corrected boolean"
+#: The type that the documents table gives its values.
+DECLARED = "text/plain"
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media: each whole text (null: empty) stored as a WAV file."""
+    """id, n_bytes, media: each whole text (null: empty) stored as a WAV file.
+
+    Repeated rows are stored each, an empty table gives no rows, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,16 +327,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, _, inner = sniff(stored)
             payload = read_wav(stored)
             rows.append(
-                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload, kind, inner))
+                (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload, kind, inner), DECLARED, kind, kind != DECLARED)
             )
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = list(zip(*rows, strict=True)) or [()] * 9
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [K.column(batch, "id"), K.column(batch, "n_bytes"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "type", "corrected"],
         )
 
 
 def op6_media_sniff(spark, sf_dir: str) -> DataFrame:
-    """Every text stored as a WAV file, its type sniffed, its samples read back and digested."""
+    """Every text stored as a WAV file, its declared type corrected, its samples read back and digested."""
     return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_digests, DIGEST)

@@ -188,12 +188,39 @@ def test_media_round_trip(spark, odd_docs, no_docs):
         matches = [t for t in by[r.doc_id] if len(t) == r.n_bytes]
         payload = matches[0] + bytes(-len(matches[0]) % 64 or (0 if matches[0] else 64))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(media.store_wav(payload)).hexdigest()
+        assert (r.declared, r.type, r.corrected) == ("text/plain", "audio/wav", True) and r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(media.store_wav(payload)).hexdigest()
     assert media.store_texts(no_docs).count() == 0
     typed = media.sniff_media(spark.createDataFrame([(1, _png(), "image/gif"), (2, None, None)], "k long, v binary, d string"), "k", "v", "d").orderBy("id").collect()
     assert typed[0].type == "image/png" and typed[0].corrected and not typed[1].corrected
 
 
+def test_features_equal_a_plain_count():
+    rng = random.Random(1)
+    for samples in (bytes(rng.choice(b"abc \xc3\xa9") for _ in range(640)), b"\x00" * 64, media.store_wav(b"abcd") + b"\x80\x00"):
+        n = len(samples)
+        mean = sum(samples) / n
+        deviation = (sum((x - mean) ** 2 for x in samples) / n) ** 0.5
+        bits = -sum(c / n * np.log2(c / n) for c in Counter(samples).values())
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(samples, samples[1:], strict=False))
+        got = dict(x.split("=", 1) for x in media.features(samples, "k", [("audio/wav", 44, 48)]).split(";")[1:])
+        assert (float(got["s"]), int(got["cross"]), got["in"]) == (round(n / 8000, 3), crossings, "audio/wav@44+48")
+        assert [float(got[k]) for k in ("mean", "dev", "bits")] == pytest.approx([mean, deviation, bits], abs=1e-4)
+
+
+def test_hostile_media():
+    """Repeated beginnings and well packed data take time and memory in proportion to the value."""
+    import time
+
+    sizes = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        assert media.sniff(b"%PDF-1" * n)[1] == 0
+        sizes.append(time.perf_counter() - start)
+    assert sizes[1] < 10 * sizes[0] + 0.5
+    bomb = gzip.compress(bytes(64 << 20))
+    assert media.sniff(bomb + b"x")[:2] == ("application/gzip", len(bomb))
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "https://EXAMPLE.net/en/1", "http://example.net/en", "https://x.example.com/de/2?q", "http://b.org/fr/", "http://b.org/fr", "nothing", None, "http://net", "http://knet/", "x://a.net?/", "http://u@a.net:80/", "http://.net/en/é", "http://a..net//"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2, "page_id long, url string")
