@@ -147,8 +147,9 @@ def slots(draws: DataFrame, block: int, seed: int) -> DataFrame:
     """sid, block, words (that the slot reads), epoch, shard, place (a key of the order in the shard); a row a slot of the mix."""
     each = draws.withColumn("j", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
     each = each.withColumns({"epoch": F.floor(F.col("j") / F.col("n_blocks")), "i": F.pmod("j", "n_blocks")})
-    full = F.greatest("n_full", F.lit(1))  # so that no branch divides by 0
-    at = F.when(F.col("i") < F.col("n_full"), permuted(F.pmod("i", full), full, F.struct(F.lit(seed), "sid", "epoch"))).otherwise(F.col("i"))
+    # Sums rather than branches, in which the planner would make each common part again.
+    full, short = F.greatest("n_full", F.lit(1)), (F.col("i") >= F.col("n_full")).cast("long")
+    at = permuted(F.pmod("i", full), full, F.struct(F.lit(seed), "sid", "epoch")) * (1 - short) + F.col("i") * short
     words = F.when(F.col("j") == F.col("n_slots") - 1, F.col("last_words")).otherwise(block)
     return each.select("sid", at.alias("block"), words.cast("long").alias("words"), "epoch", "shard", F.xxhash64(F.lit(seed), "sid", "j").alias("place"))
 
