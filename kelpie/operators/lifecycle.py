@@ -54,3 +54,8 @@ def pretraining_corpus(domain: DataFrame, general: DataFrame, replay: float = 0.
     card = mixed.groupBy("origin").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
     card = card.withColumn("tokens_estimate", F.floor(F.col("chars") / 4)).withColumn("share", F.round(F.col("documents") / F.sum("documents").over(Window.partitionBy()), 3))
     return {"train": mixed, "valid": valid, "card": card}
+
+
+def sub_sampled(rows: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
+    """``rows`` (with ``split``) with only ``n`` training rows, lowest by seed; other splits are unchanged."""
+    return rows.where("split <> 'train'").unionByName(splits.sample(rows.where("split = 'train'"), key, n, seed))

@@ -44,10 +44,15 @@ def longest_matches(passage: str, table: dict[str, str], most: int = 4) -> list[
 
 
 def tag(docs: DataFrame, table: DataFrame, id_col: str = "id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """(id, canonical, start, end, surface): a row for each hit. Offsets are code points."""
-    if table.count() > SENT_ENTRIES:
+    """(id, canonical, start, end, surface): a row for each hit. Offsets are code points.
+
+    Up to ``SENT_ENTRIES`` entries are sent to the tasks, which is found out while they are fetched;
+    a larger gazetteer is joined, with the same rows.
+    """
+    entries = table.limit(SENT_ENTRIES + 1).collect()
+    if len(entries) > SENT_ENTRIES:
         return tag_joined(docs, table, id_col, text_col, most)
-    sent = docs.sparkSession.sparkContext.broadcast({r["phrase"]: r["canonical"] for r in table.collect()})
+    sent = docs.sparkSession.sparkContext.broadcast({r["phrase"]: r["canonical"] for r in entries})
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,21 +65,39 @@ def tag(docs: DataFrame, table: DataFrame, id_col: str = "id", text_col: str = "
 
 
 def tag_joined(docs: DataFrame, table: DataFrame, id_col: str = "id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """The same hits (without offsets: start and end are word numbers) for a gazetteer of any size.
+    """The same rows as :func:`tag` for a gazetteer of any size, which is joined to all n-grams. Ids are unique.
 
-    All n-grams are joined to it; a fold over each document's hits, by start and falling length,
-    keeps those that begin after the last kept one's end, which equals the scan.
+    Hits are put in order within each document, the longest first at a word, and streamed: those that
+    begin after the last kept one's end stay, which equals the scan.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit(text.WORD), F.lit(0)).alias("w"))
-    grams = words.select("id", "w", F.posexplode("w").alias("start", "_"))
-    grams = grams.select("id", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("start")))).alias("n"))
-    grams = grams.select("id", "start", "n", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("surface"))
-    hits = grams.join(table, F.lower("surface") == F.col("phrase"))
-    ordered = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("short"), "canonical", "surface"))).alias("hits"))
-    none = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,short:int,canonical:string,surface:string>>) AS taken)")
-    step = lambda acc, h: F.when(h["start"] >= acc["at"], F.struct((h["start"] - h["short"]).alias("at"), F.concat(acc["taken"], F.array(h)).alias("taken"))).otherwise(acc)
-    folded = ordered.select("id", F.explode(F.aggregate("hits", none, step)["taken"]).alias("h"))
-    return folded.select(F.col("id").alias(id_col), "h.canonical", F.col("h.start").alias("start"), (F.col("h.start") - F.col("h.short")).alias("end"), "h.surface")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, passage in zip(batch["id"], batch["text"], strict=True):
+                spans = [m.span() for m in _WORD.finditer(passage or "")]
+                low = [passage[a:b].lower() for a, b in spans]
+                rows = [(i, at, n, " ".join(low[at : at + n]), spans[at][0], spans[at + n - 1][1]) for at in range(len(spans)) for n in range(1, min(most, len(spans) - at) + 1)]
+                rows = [(*r, passage[r[4] : r[5]]) for r in rows]
+                yield pd.DataFrame(rows, columns=["id", "at", "n", "phrase", "start", "end", "surface"])
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, free = None, 0
+        for batch in batches:
+            keep = []
+            for k, (i, at, n) in enumerate(zip(batch["id"], batch["at"], batch["n"], strict=True)):
+                if i != current:
+                    current, free = i, 0
+                if at >= free:
+                    free = at + n
+                    keep.append(k)
+            yield batch.iloc[keep][["id", "canonical", "start", "end", "surface"]]
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = texts.mapInPandas(grams, f"id {kind}, at int, n int, phrase string, start int, end int, surface string")
+    hits = made.join(table, "phrase").select("id", "at", "n", "canonical", "start", "end", "surface")
+    ordered = hits.repartition("id").sortWithinPartitions("id", "at", F.desc("n"))
+    return ordered.mapInPandas(kept, f"id {kind}, {HITS}").withColumnRenamed("id", id_col)
 
 
 def values(hits: DataFrame, id_col: str = "id") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.plans import corpus, warehouse
+from kelpie.plans import corpus, lexicon, warehouse
 
-_MODULES = (corpus, warehouse)
+_MODULES = (corpus, warehouse, lexicon)
 
 
 def queries() -> dict:
