@@ -24,7 +24,7 @@ from kelpie.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Each source's documents are ordered within parts, one for so many rows of the table, so that no task orders a whole source.
-PART_ROWS = 50_000
+PART_ROWS = 1000
 #: Slots that are made in a task.
 MADE = 1 << 20
 #: Slots up to which halves are drawn exactly, by so many random bits; beyond by the normal distribution.
