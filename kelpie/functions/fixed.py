@@ -93,6 +93,3 @@ SYSTEM_PROMPT = (
     "}\n"
     "Use the exact wording of the source for names. Omit nothing that is stated; invent nothing that is not. Sort every list alphabetically."
 )
-
-# Words of a query that would write.
-WRITE_WORDS = ["CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", r"LOAD\s+CSV", r"CALL\s+\{"]

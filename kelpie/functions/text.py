@@ -152,15 +152,18 @@ def reject_reason(text: Column, min_chars: int = 300, max_chars: int = 50_000) -
     n = F.length(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}\s\x{85}\p{Z}\x{1c}-\x{1f}]", ""))
     digits = F.length(F.regexp_replace(text, r"[^\p{Nd}]", ""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    different = F.size(F.array_distinct(F.transform(words, F.lower)))
     periods = n - F.length(F.replace(text, F.lit("."), F.lit("")))
     whole = F.greatest(n, F.lit(1))
-    tests = [
-        n < min_chars, n > max_chars, letters / whole < 0.70, digits / whole > 0.20, F.size(words) < 50,
-        different / F.greatest(F.size(words), F.lit(1)) < 0.25, periods < 3,
-    ]
-    return reduce(lambda case, x: case.when(x[1], F.lit(x[0])), zip(REASONS[1:], tests[1:], strict=True), F.when(tests[0], F.lit(REASONS[0])))
+
+    def by_words(words: Column) -> Column:
+        different = F.size(F.array_distinct(F.transform(words, F.lower)))
+        few = different / F.greatest(F.size(words), F.lit(1)) < 0.25
+        return F.when(F.size(words) < 50, REASONS[4]).when(few, REASONS[5]).when(periods < 3, REASONS[6])
+
+    # The words are bound as a variable, else each rule would look for them again; and only where the cheap rules pass.
+    rest = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), by_words), F.lit(0))
+    tests = [n < min_chars, n > max_chars, letters / whole < 0.70, digits / whole > 0.20]
+    return reduce(lambda case, x: case.when(x[1], F.lit(x[0])), zip(REASONS[1:4], tests[1:], strict=True), F.when(tests[0], F.lit(REASONS[0]))).otherwise(rest)
 
 
 def in_length_band(text: Column, least: int = 200, most: int = 4000) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,15 @@ def first_of_each(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """The row lowest in ``order`` of each ``key``; null keys are one key.
 
     An aggregate with partial minima finds the firsts (a key with very many rows is summed up
-    before the shuffle), and a join by the order column, which is unique, fetches them.
+    before the shuffle), and a join by the order column fetches them. The order column must be
+    unique and not null: rows without it are left out, of rows that share it all are firsts or none.
     """
     firsts = rows.groupBy(key.alias("dedupe_key")).agg(F.min(order).alias(order)).select(order)
     return rows.join(firsts, order, "left_semi")
 
 
 def exact(docs: DataFrame, order: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents whose letters and digits no earlier document has."""
+    """Documents whose letters and digits no earlier document has; ``order`` is unique and not null."""
     return first_of_each(docs, F.sha1(alnum_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary")), order)
 
 
@@ -61,29 +63,28 @@ def band_shape(threshold: float, permutations: int = 128) -> tuple[int, int]:
     return best[1], best[2]
 
 
-_PRIME = np.uint64((1 << 31) - 1)
-
-
 def signature_udf(permutations: int = 128, k: int = 5, seed: int = 1):
-    """A pandas UDF from a text's words to its MinHash signature; null without words."""
+    """A pandas UDF from the 64-bit hashes of a text's words to its MinHash signature; null without words."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(1, int(_PRIME), permutations, dtype=np.uint64)
-    b = rng.integers(0, int(_PRIME), permutations, dtype=np.uint64)
+    a = rng.integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+    steps = rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     @F.pandas_udf("array<long>")
     def signature(words: pd.Series) -> pd.Series:
-        import zlib
-
         def one(w):
             if w is None or not len(w):
                 return None
-            w = list(w)
-            grams = {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
-            h = np.fromiter((zlib.crc32(g.encode()) for g in grams), np.uint64, len(grams)) % _PRIME
+            w = np.asarray(w, np.int64).view(np.uint64)
+            n = max(1, len(w) - k + 1)
+            h = np.zeros(n, np.uint64)
+            for i in range(min(k, len(w))):
+                h += w[i : i + n] * steps[i]
+            h = np.unique(h ^ (h >> np.uint64(29)))
             low = np.full(permutations, np.iinfo(np.uint64).max, np.uint64)
             for i in range(0, len(h), 4096):
-                low = np.minimum(low, ((h[i : i + 4096, None] * a + b) % _PRIME).min(axis=0))
-            return low.astype(np.int64)
+                low = np.minimum(low, ((h[i : i + 4096, None] * a + b) >> np.uint64(24)).min(axis=0))
+            return low.view(np.int64)
 
         return words.map(one)
 
@@ -93,7 +94,7 @@ def signature_udf(permutations: int = 128, k: int = 5, seed: int = 1):
 def near_cells(docs: DataFrame, threshold: float = 0.8, permutations: int = 128, k: int = 5, order: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, cell): the buckets of each document's signature bands; documents without words have none."""
     bands, rows = band_shape(threshold, permutations)
-    signed = docs.select(F.col(order).alias("id"), signature_udf(permutations, k)(ascii_words(F.col(text_col))).alias("sig")).where("sig is not null")
+    signed = docs.select(F.col(order).alias("id"), signature_udf(permutations, k)(F.transform(ascii_words(F.col(text_col)), lambda w: F.xxhash64(w))).alias("sig")).where("sig is not null")
     cells = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
     return signed.select("id", F.explode(cells).alias("cell"))
 
@@ -101,27 +102,29 @@ def near_cells(docs: DataFrame, threshold: float = 0.8, permutations: int = 128,
 def greedy_drop(cells: DataFrame) -> DataFrame:
     """The ids that a scan in order drops: those that share a cell with an id kept before.
 
-    ``cells`` has (id, cell). In each round the ids that are lowest in all their open cells are
-    kept, and drop all others in these cells; then decided ids leave. The lowest open id is kept in
-    every round, so it ends. Rows are memberships, never pairs, and sums are partial first, so a
-    cell with very many members is no burden. Only counts come to the driver.
+    ``cells`` has (id, cell). Cells of one id go first, they decide nothing. Then, in each round, the
+    ids that are lowest in all their open cells are kept, and drop all others in these cells; decided
+    ids leave, and cells left with one id. The lowest open id is kept in every round, so it ends. Rows
+    are memberships, never pairs, and sums are partial first, so a cell with very many members is no
+    burden. Only whether rows are left comes to the driver; a round writes two tables.
     """
-    now = cut(cells.select("id", "cell").distinct())
-    dropped = cut(now.select("id").limit(0))
+    shared = lambda rows: rows.join(rows.groupBy("cell").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("cell", "low"), "cell")
+    now, dropped = cut(shared(cells.select("id", "cell").distinct())), []
     while not now.isEmpty():
-        marked = now.join(now.groupBy("cell").agg(F.min("id").alias("low")), "cell")
-        keep = marked.groupBy("id").agg(F.every(F.col("id") == F.col("low")).alias("kept")).where("kept").select(F.col("id").alias("low"))
-        closed = cut(marked.join(keep, "low", "left_semi").select("cell", "id", "low"))
-        gone = closed.where("id <> low").select("id").distinct()
-        rest = now.join(closed.select("cell").distinct(), "cell", "left_anti").join(gone, "id", "left_anti").select("id", "cell")
-        then, more = cut(rest), cut(dropped.unionByName(gone))
-        drop(now, dropped, closed)
-        now, dropped = then, more
-    return dropped.distinct()
+        keep = now.groupBy("id").agg(F.every(F.col("id") == F.col("low")).alias("kept")).where("kept").select(F.col("id").alias("low"))
+        closed = now.join(keep, "low", "left_semi").select("cell", "id", "low")
+        gone = cut(closed.where("id <> low").select("id").distinct())
+        # A closed cell's ids are decided: its lowest is kept and the others are gone.
+        rest = now.join(gone, "id", "left_anti").join(keep.withColumnRenamed("low", "id"), "id", "left_anti").select("id", "cell")
+        then = cut(shared(rest))
+        drop(now)
+        now = then
+        dropped.append(gone)
+    return reduce(DataFrame.unionByName, dropped, now.select("id"))
 
 
 def near(docs: DataFrame, threshold: float = 0.8, permutations: int = 128, k: int = 5, order: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents left by exact removal by words, then by the greedy rule on signature bands."""
+    """Documents left by exact removal by words, then by the greedy rule on signature bands; ``order`` is unique and not null."""
     unique = exact_by_words(docs, order, text_col)
     gone = greedy_drop(near_cells(unique, threshold, permutations, k, order, text_col))
     return unique.join(gone.withColumnRenamed("id", order), order, "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +29,29 @@ def flat_windows(log: DataFrame) -> DataFrame:
 
 
 def best_validation(log: DataFrame) -> DataFrame:
-    """(run, nth, iteration, val_loss, best, best_iteration, since): a fold, since a value counts as better only by over 1e-4."""
-    ordered = log.where("kind = 'val'").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("nth", "iteration", "val_loss"))).alias("rows"))
-    kind = "array<struct<nth:bigint,iteration:bigint,val_loss:double,best:double,best_iteration:bigint,since:int>>"
-    start = F.expr(f"struct(cast('Infinity' AS double) AS best, cast(0 AS bigint) AS best_iteration, 0 AS since, cast(array() AS {kind}) AS done)")
-
-    def step(acc, x):
-        better = x["val_loss"] < acc["best"] - DELTA
-        best, at = F.when(better, x["val_loss"]).otherwise(acc["best"]), F.when(better, x["iteration"]).otherwise(acc["best_iteration"])
-        since = F.when(better, 0).otherwise(acc["since"] + 1)
-        row = F.struct(x["nth"].alias("nth"), x["iteration"].alias("iteration"), x["val_loss"].alias("val_loss"), best.alias("best"), at.alias("best_iteration"), since.alias("since"))
-        return F.struct(best.alias("best"), at.alias("best_iteration"), since.alias("since"), F.concat(acc["done"], F.array(row).cast(kind)).alias("done"))
-
-    return ordered.select("run", F.explode(F.aggregate("rows", start, step)["done"]).alias("x")).select("run", "x.*")
+    """(run, nth, iteration, val_loss, best, best_iteration, since): a value counts as better only by over 1e-4.
+
+    That is no window function, so each run's rows pass one task in order, which carries three numbers.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    schema = f"run {kinds['run']}, nth {kinds['nth']}, iteration {kinds['iteration']}, val_loss double, best double, best_iteration long, since int"
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, best, at, since = None, math.inf, 0, 0
+        for batch in batches:
+            held = []
+            for r, iteration, loss in zip(batch["run"], batch["iteration"], batch["val_loss"], strict=True):
+                if r != run:
+                    run, best, at, since = r, math.inf, 0, 0
+                if loss < best - DELTA:
+                    best, at, since = loss, iteration, 0
+                else:
+                    since += 1
+                held.append((best, at, since))
+            yield batch.assign(**{c: [h[i] for h in held] for i, c in enumerate(("best", "best_iteration", "since"))})
+
+    val = log.where("kind = 'val'").select("run", "nth", "iteration", F.col("val_loss").cast("double").alias("val_loss"))
+    return val.repartition("run").sortWithinPartitions("run", "nth").mapInPandas(follow, schema)
 
 
 def alarms(log: DataFrame) -> DataFrame:

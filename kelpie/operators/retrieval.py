@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import threading
 from collections.abc import Sequence
 from typing import Protocol
@@ -11,9 +10,21 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions import fixed
-
-_WRITES = re.compile(r"(?i)\b(?:" + "|".join(fixed.WRITE_WORDS) + r"|INSERT|UPDATE|TRUNCATE|ALTER|REFRESH|CACHE|ADD)\b")
+#: Steps of a plan that untrusted queries may have, its expressions that hold plans, and the functions.
+PLANS = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "Distinct", "Union",
+    "Except", "Intersect", "UnresolvedHaving", "UnresolvedInlineTable", "OneRowRelation", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Generate",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "LateralJoin", "LocalRelation",
+}
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
+#: Expressions that read more than their arguments.
+LEAVES = {"InputFileName", "InputFileBlockStart", "InputFileBlockLength", "CurrentUser", "CurrentDatabase", "CurrentCatalog"}
+FUNCTIONS = set(
+    "abs any_value array array_contains array_distinct array_join array_sort avg between ceil coalesce collect_list collect_set concat concat_ws contains count count_if "
+    "date_trunc dense_rank endswith explode first floor greatest if initcap instr lag last lead least left length like lower ltrim max max_by mean median min min_by "
+    "month named_struct nullif nvl percentile percentile_cont posexplode range rank regexp_count regexp_extract regexp_like regexp_replace replace reverse right rlike "
+    "round row_number rtrim size sort_array split split_part startswith stddev struct substr substring sum trim try_divide upper variance year".split()
+)
 ABSTAIN = "I don't know: nothing relevant was found."
 
 
@@ -79,19 +90,56 @@ def missing_embeddings(passages: DataFrame, cache: DataFrame, model: str) -> Dat
     return passages.join(cache.where(F.col("model") == model).select("id"), "id", "left_anti")
 
 
-def check_read_only(spark: SparkSession, query: str) -> None:
-    """Raises ValueError for queries with a writing word, and for plans that are commands."""
-    if _WRITES.search(query):
-        raise ValueError("write clauses are not allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    if command.isInstance(plan):
-        raise ValueError("only queries are allowed")
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _walk(node, views: set[str], is_plan) -> None:
+    """Raises ValueError at the first node of a parsed plan or expression that isn't on the lists."""
+    kind = node.getClass().getSimpleName()
+    known = set(views)
+    if kind == "UnresolvedWith":
+        for name, relation in ((r._1(), r._2()) for r in _items(node.cteRelations())):
+            _walk(relation, known, is_plan)
+            known.add(name.lower())
+    if kind == "UnresolvedRelation":
+        name = _items(node.multipartIdentifier())
+        if len(name) != 1 or name[0].lower() not in known:
+            raise ValueError(f"only these views may be read: {', '.join(sorted(views))}")
+    elif kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+        name = [node.name().funcName()] if kind == "UnresolvedGenerator" else _items(node.nameParts() if kind == "UnresolvedFunction" else node.name())
+        if len(name) != 1 or name[0].lower() not in FUNCTIONS:
+            raise ValueError(f"function {'.'.join(name)} is not allowed")
+    if kind in PLANS:
+        below = [*_items(node.children()), *_items(node.expressions())]
+    elif is_plan(node) or kind in LEAVES:
+        raise ValueError(f"{kind} is not allowed")
+    else:
+        below = _items(node.children())
+        if kind in SUBQUERIES:
+            below.append(node.plan())
+    for inner in below:
+        _walk(inner, known, is_plan)
+
+
+def check_read_only(spark: SparkSession, query: str, views: set[str] | None = None) -> None:
+    """Raises ValueError unless the query's plan is made of listed steps and functions over named views only.
+
+    ``views`` are the names that may be read, the session's temporary views if none are given. So
+    commands, files named as tables, table functions and reflection are no queries.
+    """
+    allowed = views if views is not None else {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Exception as failure:
+        raise ValueError(f"no query: {str(failure).splitlines()[0] if str(failure) else failure}") from None
+    logical = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    _walk(plan, {v.lower() for v in allowed}, logical.isInstance)
 
 
-def read_untrusted(spark: SparkSession, query: str, limit: int = 200, timeout: float = 15.0) -> list[dict]:
+def read_untrusted(spark: SparkSession, query: str, limit: int = 200, timeout: float = 15.0, views: set[str] | None = None) -> list[dict]:
     """Rows of a query written by a model: read-only, at most ``limit`` rows, cancelled after ``timeout`` seconds."""
-    check_read_only(spark, query)
+    check_read_only(spark, query, views)
     group = f"untrusted-{threading.get_ident()}"
     spark.sparkContext.setJobGroup(group, "untrusted query", interruptOnCancel=True)
     timer = threading.Timer(timeout, spark.sparkContext.cancelJobGroup, [group])

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import WORD
 
-#: Ranges of documents that are numbered each on its own, then put one after another.
-RANGES = 1024
+#: Documents of a range that is numbered on its own, about, and ranges at most; ranges are put one after another.
+RANGE_ROWS, RANGES = 50_000, 1024
 
 
 def stream_offsets(docs: DataFrame, order: str, size: str) -> DataFrame:
-    """``docs`` with ``offset``: the sum of ``size`` of all documents before, in ``order``.
+    """``docs`` with ``offset``: the sum of ``size`` of all documents before, in ``order`` (a number, not null).
 
-    Documents are dealt to ranges of the order; their sums (at most ``RANGES`` rows) are added up
-    first, then each range adds up its own, so no task sees all documents.
+    Documents are dealt to ranges of about equal numbers, at approximate quantiles of the order; their
+    sums (at most ``RANGES`` rows) are added up first, then each range adds up its own, so no task
+    sees all documents, however the numbers are spread.
     """
-    edges = docs.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    at = docs.crossJoin(F.broadcast(edges))  # one row
-    width = F.greatest((F.col("high") - F.col("low") + 1) / RANGES, F.lit(1.0))
-    at = at.withColumn("range", F.least(F.floor((F.col(order) - F.col("low")) / width), F.lit(RANGES - 1)).cast("int")).drop("low", "high")
+    ranges = min(RANGES, -(-docs.count() // RANGE_ROWS))
+    edges = docs.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    at = docs.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= F.col(order))) if edges else F.lit(0))
     totals = at.groupBy("range").agg(F.sum(size).alias("total"))
     base = F.sum("total").over(Window.orderBy("range")) - F.col("total")
     totals = totals.select("range", base.alias("base"))
@@ -91,19 +92,26 @@ def prompt_and_answer(prompt: Column, answer: Column, eos: int) -> Column:
 def greedy_documents(texts: DataFrame, key: str, order: str, least: int = 1500, text_col: str = "text") -> DataFrame:
     """(key, nth, text): texts of each shard (``key``) joined in order until over ``least`` characters; what is left over goes.
 
-    A fold that starts anew after each document, so a shard's rows are folded in one place: choose
-    shards of bounded size.
+    Each shard's texts pass one task in order, which holds no more than one document of them.
     """
-    rows = texts.select(key, order, F.trim(text_col).alias("t")).where("t <> ''")
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("rows"))
-    start = F.expr("struct(cast(array() AS array<string>) AS done, cast(array() AS array<string>) AS held, 0 AS n)")
-
-    def step(acc, x):
-        held, n = F.concat(acc["held"], F.array(x["t"])), acc["n"] + F.length(x["t"])
-        full = F.struct(F.concat(acc["done"], F.array(F.array_join(held, " "))).alias("done"), F.expr("cast(array() AS array<string>)").alias("held"), F.lit(0).alias("n"))
-        return F.when(n > least, full).otherwise(F.struct(acc["done"].alias("done"), held.alias("held"), n.alias("n")))
-
-    return ordered.select(key, F.posexplode(F.aggregate("rows", start, step)["done"]).alias("nth", "text"))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, held, size, nth = None, [], 0, 0
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if k != shard:
+                    shard, held, size, nth = k, [], 0, 0
+                held.append(t)
+                size += len(t)
+                if size > least:
+                    out.append((k, nth, " ".join(held)))
+                    held, size, nth = [], 0, nth + 1
+            yield pd.DataFrame(out, columns=[key, "nth", "text"])
+
+    rows = texts.select(F.col(key).alias("key"), F.col(order).alias("at"), F.trim(text_col).alias("t")).where("t <> ''")
+    return rows.repartition("key").sortWithinPartitions("key", "at", "t").mapInPandas(join, f"`{key}` {kind}, nth int, text string")
 
 
 def fertility(rows: DataFrame, text_col: str, encode: Callable[[Column], Column], words: str = r"\S+") -> DataFrame:

@@ -181,6 +181,22 @@ def test_retrieval(spark):
         with pytest.raises(ValueError):
             retrieval.read_untrusted(spark, bad)
     assert retrieval.read_untrusted(spark, "SELECT id FROM range(10)", limit=3) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    frame(spark, [(1, "set the cache"), (2, "b")], "id int, t string").createOrReplaceTempView("seen")
+    hostile = [
+        "SELECT * FROM text.`/etc/passwd`", "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT java_method('java.lang.System', 'exit', 0)", "SELECT * FROM other",
+        "SELECT (SELECT max(value) FROM text.`/etc/passwd`) FROM seen", "WITH x AS (SELECT * FROM json.`/a`) SELECT * FROM x", "SELECT id FROM seen WHERE EXISTS (SELECT 1 FROM parquet.`/a`)",
+        "SELECT input_file_name() FROM seen", "SELECT * FROM read_files('/a')", "FROM seen INSERT INTO t SELECT *", "EXPLAIN SELECT 1", "SELECT id FROM seen WHERE id IN (SELECT reflect('a', 'b'))", "",
+        "SELECT TRANSFORM(id) USING 'cat' FROM seen", "SELECT * FROM default.seen",
+    ]
+    for bad in hostile:
+        with pytest.raises(ValueError):
+            retrieval.check_read_only(spark, bad)
+    kind = "WITH a AS (SELECT id, upper(t) AS u FROM seen WHERE t = 'set the cache' OR t LIKE 'add%'), b AS (SELECT * FROM a) SELECT count(DISTINCT u) AS n, max(id) OVER () AS m FROM b GROUP BY id HAVING count(*) > 0 ORDER BY 1 LIMIT 5"
+    assert retrieval.read_untrusted(spark, kind) == [{"n": 1, "m": 1}]
+    assert retrieval.read_untrusted(spark, "SELECT s.id FROM seen s JOIN (SELECT max(id) AS id FROM seen) m ON s.id = m.id WHERE s.id IN (SELECT id FROM seen)") == [{"id": 2}]
+    assert retrieval.read_untrusted(spark, "SELECT x FROM seen LATERAL VIEW explode(split(t, ' ')) e AS x WHERE id = 2 UNION SELECT 'b'") == [{"x": "b"}]
+    with pytest.raises(ValueError):
+        retrieval.read_untrusted(spark, "SELECT * FROM seen", views={"edges"})
     assert retrieval.answer("q", "  ") == retrieval.ABSTAIN and retrieval.answer("q", "a\nb") == "a"
 
 
