@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -53,16 +52,19 @@ class Trigrams:
     """Bits of texts under the byte trigrams of a dictionary, smoothed by its bigrams and bytes."""
 
     def __init__(self, data: bytes):
-        self.counts = [Counter(data), Counter(zip(data, data[1:], strict=False)), Counter(zip(data, data[1:], data[2:], strict=False))]
+        x = np.frombuffer(data, np.uint8).astype(np.int64)
+        self.one, self.two = np.bincount(x, minlength=256), np.bincount(x[:-1] << 8 | x[1:], minlength=1 << 16)
+        self.keys, self.three = np.unique(x[:-2] << 16 | x[1:-1] << 8 | x[2:], return_counts=True)
         self.total = len(data)
 
     def bits(self, data: bytes) -> float:
-        one, two, three = self.counts
-        data, out = b"  " + data + b" ", 0.0
-        for a, b, c in zip(data, data[1:], data[2:], strict=False):
-            p = (two[b, c] + 4 * (one[c] + 0.5) / (self.total + 128)) / (one[b] + 4)
-            out -= math.log2((three[a, b, c] + 4 * p) / (two[a, b] + 4))
-        return out
+        x = np.frombuffer(b"  " + data + b" ", np.uint8).astype(np.int64)
+        a, b, c = x[:-2], x[1:-1], x[2:]
+        code = a << 16 | b << 8 | c
+        at = np.minimum(np.searchsorted(self.keys, code), max(0, len(self.keys) - 1))
+        three = np.where(self.keys[at] == code, self.three[at], 0) if len(self.keys) else 0
+        p = (self.two[b << 8 | c] + 4 * (self.one[c] + 0.5) / (self.total + 128)) / (self.one[b] + 4)
+        return float(-np.log2((three + 4 * p) / (self.two[a << 8 | b] + 4)).sum())
 
 
 class Model(NamedTuple):
