@@ -248,3 +248,17 @@ def gold_rows(gold: DataFrame) -> DataFrame:
     """Reviewed rows, or all if none is reviewed."""
     reviewed = gold.where("reviewed")
     return gold if reviewed.isEmpty() else reviewed
+
+
+def run_table(summaries: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """run, iters_done, best_val_loss, test_loss, macro_f1, parse_rate, wall_minutes, alerts: a row a run, evaluated or not.
+
+    ``summaries`` has run and the summary's fields (``alerts`` as an array), ``evaluations`` run, system,
+    macro_f1 and parse_rate; of a run's systems the tuned one counts, else the base.
+    """
+    best = evaluations.groupBy("run").agg(F.min_by(F.struct("macro_f1", "parse_rate"), F.when(F.col("system") == "tuned", 0).otherwise(1)).alias("x"))
+    joined = summaries.join(best, "run", "left")
+    return joined.select(
+        "run", "iters_done", F.round("best_val_loss", 4).alias("best_val_loss"), F.round("test_loss", 4).alias("test_loss"), F.round("x.macro_f1", 3).alias("macro_f1"),
+        F.round("x.parse_rate", 3).alias("parse_rate"), F.round("wall_minutes", 1).alias("wall_minutes"), F.coalesce(F.size("alerts"), F.lit(0)).alias("alerts"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import facts
-from kelpie.operators import dedup, quality, splits, tagging
+from kelpie.operators import dedup, quality, splits, tagging, tokens
 from kelpie.scratch import cut
 
 
@@ -59,3 +59,14 @@ def pretraining_corpus(domain: DataFrame, general: DataFrame, replay: float = 0.
 def sub_sampled(rows: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
     """``rows`` (with ``split``) with only ``n`` training rows, lowest by seed; other splits are unchanged."""
     return rows.where("split <> 'train'").unionByName(splits.sample(rows.where("split = 'train'"), key, n, seed))
+
+
+def forgetting_probe(texts: DataFrame, key: str, order: str, n_docs: int, encode, block: int, eos: int) -> DataFrame:
+    """(block, tokens) of the first ``n_docs`` documents joined from texts of a corpus that is neither trained on nor replayed.
+
+    ``encode`` maps a text column to its tokens. Rescoring the blocks before and after is a model's work;
+    see ``evaluation.perplexity`` and ``perplexity_change``.
+    """
+    docs = tokens.greedy_documents(texts, key, order).orderBy(key, "nth").limit(n_docs)
+    numbered = docs.withColumn("doc_id", F.row_number().over(Window.orderBy(key, "nth")))  # at most n_docs rows
+    return tokens.pack_stream(numbered.select("doc_id", encode(F.col("text")).alias("tokens")), block, eos)

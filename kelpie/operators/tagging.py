@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import facts, fixed, text
+from kelpie.operators import splits
+from kelpie.scratch import cut
 
 PLURALS = ("s", "es")
 #: A gazetteer is sent to the tasks only up to so many entries; larger ones are joined.
@@ -235,24 +237,25 @@ def link(question: str, units: list[dict], intervals: list[str], lithologies: li
 def cloze_probes(docs: DataFrame, vocabulary: DataFrame, n: int, distractors: int = 3, seed: int = 17, order: str = "ord", text_col: str = "text") -> DataFrame:
     """(ord, prompt, answer, distractors): of each document the first sentence of 8 words or more with a term after 20 characters.
 
-    The term is drawn by hash among the sentence's, distractors by hash among the other terms; the
-    first ``n`` documents with a probe.
+    The term is drawn by hash among the sentence's. Distractors are the terms that follow a place drawn
+    by the document's hash, in the seeded order of all terms, so that a probe meets so many terms only.
+    The first ``n`` documents with a probe.
     """
     sents = docs.select(F.col(order).alias("ord"), F.posexplode(facts.sentences(F.col(text_col))).alias("nth", "sent"))
     words = F.regexp_extract_all("sent", F.lit(r"[A-Za-z][A-Za-z\-]+"), F.lit(0))
-    terms = vocabulary.select(F.lower("term").alias("low"), "term").groupBy("low").agg(F.min("term").alias("term"))
+    terms = cut(vocabulary.select(F.lower("term").alias("low"), "term").groupBy("low").agg(F.min("term").alias("term")))
     hits = sents.where(F.size(words) >= 8).select("ord", "nth", "sent", F.explode(F.array_distinct(words)).alias("word"))
     hits = hits.join(terms, F.lower("word") == F.col("low"))
     drawn = hits.groupBy("ord", "nth").agg(F.min_by(F.struct("sent", "word", "low"), F.md5(F.concat_ws("|", F.lit(str(seed)), "ord", "nth", "word"))).alias("x"))
     drawn = drawn.select("ord", "nth", "x.*").where(F.instr("sent", F.col("word")) > 21)
     firsts = drawn.groupBy("ord").agg(F.min_by(F.struct("sent", "word", "low"), "nth").alias("x")).select("ord", "x.*").orderBy("ord").limit(n)
-    others = terms.agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    ranked = lambda t, o: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), o.cast("string"), t)).alias("rank"), t.alias("term"))
-    rest = F.filter("terms", lambda t: F.lower(t) != F.col("low"))
-    picked = F.transform(F.slice(F.array_sort(F.transform(rest, lambda t: ranked(t, F.col("ord")))), 1, distractors), lambda x: x["term"])
-    out = firsts.crossJoin(F.broadcast(others)).withColumn("distractors", picked).where(F.size("distractors") == distractors)
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("ord").cast("string"))), 1, 8), 16, 10).cast("long")
+    asked = firsts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(distractors)))).withColumn("place", F.pmod(start + F.col("k"), F.lit(max(1, terms.count())).cast("long")))
+    others = splits.ranked(terms.select("term", F.col("low").alias("other")), "term", seed).select("term", "other", F.col("place").cast("long").alias("place"))
+    met = asked.join(others, "place").where("other <> low").groupBy("ord", "sent", "word")
+    picked = met.agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]), 1, distractors).alias("distractors"))
     prompt = F.trim(F.expr("substring(sent, 1, instr(sent, word) - 1)"))
-    return out.select("ord", prompt.alias("prompt"), F.col("word").alias("answer"), "distractors")
+    return picked.where(F.size(F.array_distinct("distractors")) == distractors).select("ord", prompt.alias("prompt"), F.col("word").alias("answer"), "distractors")
 
 
 def ordinal(rows: DataFrame, group: str, order: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.plans import corpus, lexicon, warehouse
+from kelpie.plans import corpus, lexicon, records, warehouse
 
-_MODULES = (corpus, warehouse, lexicon)
+_MODULES = (corpus, warehouse, lexicon, records)
 
 
 def queries() -> dict:

@@ -59,19 +59,9 @@ def exact_dedup_by_words(spark, sf):
     return dedup.exact_by_words(table(spark, sf, "documents")).select("doc_id")
 
 
-@query(r"""
-WITH n AS (SELECT count(*) AS documents_in, count(DISTINCT regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS u FROM documents)
-SELECT documents_in, documents_in - u AS exact_removed, CAST(0 AS BIGINT) AS near_removed, u AS documents_out,
-       round(100 * (documents_in - u) / greatest(documents_in, 1), 1) AS removed_pct FROM n""")
-def dedup_stats(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    unique = cut(dedup.exact(docs).select("doc_id"))
-    return dedup.stats(docs, unique, unique)
-
-
 @query()
-def dedup_stats_near(spark, sf):
-    """The counts with near-duplicate removal (exact by words, then by signature bands) after exact removal."""
+def dedup_stats(spark, sf):
+    """The counts of exact removal, then of near-duplicate removal (exact by words, then by signature bands)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     unique = cut(dedup.exact(docs))
     return dedup.stats(docs, unique, dedup.near(unique))
@@ -83,10 +73,12 @@ def near_dup_kept(spark, sf):
 
 
 @query("""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
-SELECT doc_id, CAST(len(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS INTEGER) AS shingles FROM w""")
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS g FROM w)
+SELECT doc_id, CAST(len(g) AS INTEGER) AS shingles, md5(array_to_string(g, '|')) AS digest FROM g""")
 def shingle_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(dedup.shingles(F.col("text"))).alias("shingles"))
+    rows = table(spark, sf, "documents").select("doc_id", F.array_sort(dedup.shingles(F.col("text"))).alias("g"))
+    return rows.select("doc_id", F.size("g").alias("shingles"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
 @query("SELECT min(doc_id) AS doc_id, lang, source FROM documents GROUP BY lang, source")
@@ -190,13 +182,12 @@ def pack_blocks(spark, sf):
 
 @query(f"""
 WITH t AS (SELECT doc_id, list_append({_TOKENS}, 0) AS t FROM documents),
-b AS (SELECT doc_id, t, unnest(range((len(t) - 1) // 512 + 1)) AS nth FROM t)
-SELECT doc_id AS ord, CAST(nth AS INTEGER) AS nth, CAST(len(t[nth * 512 + 1 : nth * 512 + 512]) AS INTEGER) AS filled FROM b""")
+b AS (SELECT doc_id, nth, t[nth * 512 + 1 : nth * 512 + 512] AS part FROM (SELECT doc_id, t, unnest(range((len(t) - 1) // 512 + 1)) AS nth FROM t)),
+p AS (SELECT doc_id, nth, list_concat(part, list_transform(range(512 - len(part)), lambda x: 0)) AS block FROM b)
+SELECT doc_id AS ord, CAST(nth AS INTEGER) AS nth, md5(array_to_string(block, ',')) AS digest, CAST(len(block) AS INTEGER) AS size FROM p""")
 def pack_separate(spark, sf):
-    docs = _tokenised(spark, sf)
-    blocks = tokens.pack_separate(docs, 512, 0)
-    sizes = docs.select(F.col("doc_id").alias("ord"), (F.size("tokens") + 1).alias("n"))
-    return blocks.join(sizes, "ord").select("ord", "nth", F.least(F.lit(512), F.col("n") - F.col("nth") * 512).alias("filled"))
+    blocks = tokens.pack_separate(_tokenised(spark, sf), 512, 0)
+    return blocks.select("ord", "nth", F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"), F.size("tokens").alias("size"))
 
 
 @query(f"""
@@ -264,7 +255,8 @@ scan(item_id, i) AS (SELECT item_id, CAST(1 AS BIGINT) FROM w UNION ALL
  SELECT s.item_id, s.i + coalesce(b.n, 1) FROM scan s JOIN w USING (item_id) LEFT JOIN best b ON b.item_id = s.item_id AND b.i = s.i WHERE s.i <= len(w.w))
 SELECT s.item_id, lower(g.surface) AS canonical, count(*) AS hits FROM scan s JOIN best b ON b.item_id = s.item_id AND b.i = s.i
 JOIN g ON g.item_id = s.item_id AND g.i = s.i AND g.n = b.n GROUP BY ALL""")
-def gazetteer_tags(spark, sf):
+def benchmark_tags(spark, sf):
+    """Benchmark items by phrases of one and two words that are frequent there."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     return tagging.tag(items, _benchmark_vocabulary(items)).groupBy(F.col("id").alias("item_id"), "canonical").agg(F.count("*").alias("hits"))
 
@@ -272,7 +264,6 @@ def gazetteer_tags(spark, sf):
 def _benchmark_vocabulary(items):
     words = items.select(F.regexp_extract_all("text", F.lit(text.WORD), F.lit(0)).alias("w"))
 
-
     def grams(n: int):
         return words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.lower(F.array_join(F.slice("w", i, n), " ")))).alias("p"))
 
@@ -282,24 +273,41 @@ def _benchmark_vocabulary(items):
     return tagging.gazetteer(entries)
 
 
-QUERIES["gazetteer_tags_joined"] = lambda spark, sf: (
-    tagging.tag_joined(i := table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), _benchmark_vocabulary(i))
-    .groupBy(F.col("id").alias("item_id"), "canonical").agg(F.count("*").alias("hits"))
-)
-SQL["gazetteer_tags_joined"] = SQL["gazetteer_tags"]
+def _tag_digest(hits):
+    """Hits of each document and phrase, with a digest of their places and forms."""
+    place = F.concat_ws(":", "start", "end", "surface")
+    return hits.groupBy(F.col("id").alias("doc_id"), "canonical").agg(F.count("*").alias("hits"), F.md5(F.array_join(F.array_sort(F.collect_list(place)), "|")).alias("places"))
 
 
 @query()
-def cloze_probes(spark, sf):
-    vocabulary = tokens.word_table(table(spark, sf, "benchmark")).where("length(word) >= 8").select(F.col("surface").alias("term"))
-    return tagging.cloze_probes(table(spark, sf, "documents").withColumn("ord", F.col("doc_id")), vocabulary, 50)
+def gazetteer_tags(spark, sf):
+    """All documents by the phrases of the benchmark, sent to the tasks."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return _tag_digest(tagging.tag(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _benchmark_vocabulary(items)))
 
 
 @query()
-def greedy_documents(spark, sf):
-    """Conversation turns of each hundred conversations joined to documents of over 1,500 characters."""
-    turns = table(spark, sf, "conversations").withColumn("shard", F.floor(F.col("conv_id") / 100)).withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
-    return tokens.greedy_documents(turns, "shard", "at")
+def gazetteer_tags_joined(spark, sf):
+    """The same by a join, for vocabularies of any size."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return _tag_digest(tagging.tag_joined(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), _benchmark_vocabulary(items)))
+
+
+@query(r"""
+WITH v AS (SELECT lower(w) AS low, arg_min(w, (-n, w)) AS term FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*')) AS w FROM benchmark) GROUP BY 1) GROUP BY 1 HAVING length(lower(w)) >= 8),
+pl AS (SELECT *, row_number() OVER (ORDER BY md5('17|' || term), term) - 1 AS place, count(*) OVER () AS terms FROM v),
+sn AS (SELECT doc_id, unnest(s) AS sent, unnest(range(len(s))) AS nth FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)),
+wd AS (SELECT DISTINCT doc_id, nth, sent, unnest(regexp_extract_all(sent, '[A-Za-z][A-Za-z\-]+')) AS word FROM sn WHERE len(regexp_extract_all(sent, '[A-Za-z][A-Za-z\-]+')) >= 8),
+dr AS (SELECT * FROM wd JOIN v ON lower(word) = low QUALIFY row_number() OVER (PARTITION BY doc_id, nth ORDER BY md5('17|' || doc_id || '|' || nth || '|' || word)) = 1),
+ft AS (SELECT * FROM dr WHERE strpos(sent, word) > 21 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nth) = 1),
+f AS (SELECT * FROM ft ORDER BY doc_id LIMIT 50),
+c AS (SELECT f.doc_id, f.sent, f.word, f.low, pl.term, pl.low AS other, k FROM f, range(4) t(k), pl WHERE pl.place = (CAST('0x' || substr(md5('17|' || f.doc_id), 1, 8) AS BIGINT) + k) % pl.terms)
+SELECT doc_id AS ord, trim(substr(any_value(sent), 1, strpos(any_value(sent), any_value(word)) - 1), ' ') AS prompt, any_value(word) AS answer, array_to_string((list(term ORDER BY k) FILTER (other <> low))[1:3], ',') AS distractors
+FROM c GROUP BY doc_id HAVING count(*) FILTER (other <> low) >= 3""")
+def cloze_probes(spark, sf):
+    vocabulary = tokens.word_table(table(spark, sf, "benchmark")).where("length(word) >= 8").select(F.col("surface").alias("term"))
+    probes = tagging.cloze_probes(table(spark, sf, "documents").withColumn("ord", F.col("doc_id")), vocabulary, 50)
+    return probes.withColumn("distractors", F.array_join("distractors", ","))
 
 
 @query("""
@@ -333,15 +341,16 @@ p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('17|' || CAST(doc_id AS VAR
 t AS (SELECT doc_id FROM p WHERE place >= least(300, greatest(n // 10, 1))),
 g AS (SELECT doc_id, row_number() OVER (ORDER BY md5('17|' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents WHERE lang <> 'en')
 SELECT doc_id, 'domain' AS origin FROM t UNION ALL SELECT doc_id, 'replay' FROM g WHERE place <= (SELECT CAST(floor(count(*) * 0.15 / (1 - 0.15)) AS BIGINT) FROM t)""")
-def pretraining_corpus(spark, sf):
+def pretraining_corpus_exact(spark, sf):
+    """The build without its near-duplicate step, which SQL can't follow."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     made = lifecycle.pretraining_corpus(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"), near=False)
     return made["train"].select("doc_id", "origin")
 
 
 @query()
-def pretraining_corpus_near(spark, sf):
-    """The corpus that ``pretraining_card`` describes: near copies go too."""
+def pretraining_corpus(spark, sf):
+    """The whole build, which ``pretraining_card`` describes."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return lifecycle.pretraining_corpus(docs.where("lang = 'en'").drop("lang"), docs.where("lang <> 'en'").drop("lang"))["train"].select("doc_id", "origin")
 

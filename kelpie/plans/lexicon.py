@@ -263,7 +263,8 @@ def _graph(spark, sf):
     intervals = spark.createDataFrame(INTERVALS, "name string, rank string, t_age double, b_age double")
     ages = rows.groupBy("unit_id").agg(F.first("age_description").alias("a")).select("unit_id", F.array_join("a", " ").alias("text"))
     tags = tagging.tag(ages, _vocabularies(spark)["chronostrat"], "unit_id", "text").select("unit_id", F.col("canonical").alias("interval")).distinct()
-    return graph.build(rows, intervals, tags, labels)
+    made = graph.build(rows, intervals, tags, labels)
+    return made | {n: cut(made[n]) for n in ("units", "edges")}  # read by several plans
 
 
 #: Units of the graph: those with a passage in the band. Names are unique, so a core has one unit.

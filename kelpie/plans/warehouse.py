@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from kelpie.functions import facts, fixed, text
 from kelpie.operators import evaluation, graph, monitor, retrieval, tagging
 from kelpie.plans.corpus import table
+from kelpie.scratch import folder
+from kelpie.sources import files
 
 QUERIES, SQL = {}, {}
 
@@ -63,9 +65,9 @@ def graph_leaf_nodes(spark, sf):
 
 
 @query(f"""WITH {_RAW}, ends AS (SELECT src AS key, type, 'out' AS direction, dst AS n FROM edges UNION ALL SELECT dst, type, 'in', src FROM edges)
-SELECT key, type, direction, CAST(count(DISTINCT n) AS INTEGER) AS neighbours FROM ends GROUP BY ALL""")
+SELECT key, type, direction, md5(array_to_string(list_sort(list(DISTINCT n)), ',')) AS neighbours FROM ends GROUP BY ALL""")
 def graph_adjacency(spark, sf):
-    return graph.adjacency(graph.merge_edges(_raw_edges(spark, sf))).withColumn("neighbours", F.size("neighbours"))
+    return graph.adjacency(graph.merge_edges(_raw_edges(spark, sf))).withColumn("neighbours", F.md5(F.array_join("neighbours", ",")))
 
 
 def _spans(spark, sf):
@@ -113,22 +115,12 @@ def unit_card(spark, sf):
 _INTERVALS = """
 i AS (SELECT 'p' || p_partkey AS name, ['age','epoch','period','era'][(p_partkey % 4) + 1] AS rank, (p_partkey % 4) AS level,
  CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 + 1 WHEN 1 THEN (p_size // 5) * 50.0 WHEN 2 THEN (p_size // 10) * 100.0 ELSE 0.0 END AS t,
- CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 + 9 WHEN 1 THEN (p_size // 5) * 50.0 + 50 WHEN 2 THEN (p_size // 10) * 100.0 + 100 ELSE 600.0 END AS b FROM part WHERE p_partkey < 200)"""
+ CASE p_partkey % 4 WHEN 0 THEN p_size * 10.0 + 9 WHEN 1 THEN (p_size // 5) * 50.0 + 50 WHEN 2 THEN (p_size // 10) * 100.0 + 100 ELSE 600.0 END AS b FROM part)"""
 
 
 @query(f"""WITH {_INTERVALS}, pairs AS (SELECT c.name AS child, p.name AS parent, p.level, min(p.level) OVER (PARTITION BY c.name) AS least
 FROM i c JOIN i p ON p.level > c.level AND p.t - 0.01 <= c.t AND c.b <= p.b + 0.01) SELECT child, parent FROM pairs WHERE level = least""")
 def interval_within(spark, sf):
-    return graph.within(_intervals(table(spark, sf, "part").where("p_partkey < 200")))
-
-
-#: The same SQL over all parts.
-_ALL_INTERVALS = _INTERVALS.replace(" WHERE p_partkey < 200", "")
-
-
-@query(f"""WITH {_ALL_INTERVALS}, pairs AS (SELECT c.name AS child, p.name AS parent, p.level, min(p.level) OVER (PARTITION BY c.name) AS least
-FROM i c JOIN i p ON p.level > c.level AND p.t - 0.01 <= c.t AND c.b <= p.b + 0.01) SELECT child, parent FROM pairs WHERE level = least""")
-def interval_within_all(spark, sf):
     return graph.within(_intervals(table(spark, sf, "part")))
 
 
@@ -142,34 +134,17 @@ def _intervals(part):
 
 
 @query("""
-WITH m AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS core FROM part),
-u AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS core FROM part WHERE p_partkey < 40),
-f AS (SELECT core, min(p_partkey) AS k, count(*) AS n FROM u GROUP BY core)
-SELECT p_name || ' Group' AS name, CASE WHEN k IS NULL THEN 'name:' || m.core ELSE 'geolex:' || k END AS key, CASE WHEN k IS NULL THEN 'placeholder' WHEN n = 1 THEN 'resolved' ELSE 'guess' END AS outcome
-FROM m LEFT JOIN f ON f.core = m.core WHERE m.core <> m.p_name""")
+WITH nm AS (SELECT *, lower(p_name) || ' ' || translate(CAST(p_partkey % 300 AS VARCHAR), '0123456789', 'klmnopqrsz') AS core, lower(p_name) || ' ' || translate(CAST(p_partkey * 7 % 400 AS VARCHAR), '0123456789', 'klmnopqrsz') AS said FROM part),
+best AS (SELECT m.p_partkey, count(u.p_partkey) AS n, max(CAST(u.p_size = m.p_size AS INT)) AS shared, arg_min(u.p_partkey, (-CAST(u.p_size = m.p_size AS INT), u.p_partkey)) AS k FROM nm m LEFT JOIN nm u ON u.core = m.said GROUP BY m.p_partkey)
+SELECT p_partkey AS ord, said AS core, CASE WHEN n = 0 THEN 'name:' || said ELSE 'geolex:' || k END AS key, CASE WHEN n = 0 THEN 'placeholder' WHEN n = 1 THEN 'resolved' WHEN shared > 0 THEN 'by_state' ELSE 'guess' END AS outcome FROM nm JOIN best USING (p_partkey)""")
 def entity_resolution(spark, sf):
-    """Units are named by the first word of a part's name; mentions add words that are no part of the core."""
-    return _resolved(table(spark, sf, "part"), F.col("p_partkey") < 40)
-
-
-@query("""
-WITH m AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS core FROM part),
-f AS (SELECT split_part(p_name, ' ', 1) AS core, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY 1)
-SELECT p_name || ' Group' AS name, CASE WHEN k IS NULL THEN 'name:' || m.core ELSE 'geolex:' || k END AS key, CASE WHEN k IS NULL THEN 'placeholder' WHEN n = 1 THEN 'resolved' ELSE 'guess' END AS outcome
-FROM m LEFT JOIN f ON f.core = m.core WHERE m.core <> m.p_name""")
-def entity_resolution_all(spark, sf):
-    """The same with all parts as units."""
-    return _resolved(table(spark, sf, "part"), F.lit(True))
-
-
-def _resolved(part, curated):
-    first = F.get(F.split("p_name", " "), F.lit(0))
-    none = F.array().cast("array<string>")
-    units = part.where(curated).select(F.concat(F.lit("geolex:"), F.col("p_partkey")).alias("key"), first.alias("name"), F.lit(True).alias("geolex"), none.alias("states"), F.col("p_partkey").alias("ord"))
-    said = part.select("p_name").distinct().where(F.contains("p_name", F.lit(" ")))
-    mentions = said.select(F.col("p_name").alias("ord"), F.concat(F.get(F.split("p_name", " "), F.lit(0)), F.lit(" shale group")).alias("name"), none.alias("states"))
-    found = graph.resolve(mentions, units)
-    return found.select(F.concat(F.col("ord"), F.lit(" Group")).alias("name"), "key", "outcome")
+    """Every part is a unit with one state, and mentions another unit, or none, with a state."""
+    part, key = table(spark, sf, "part"), F.col("p_partkey")
+    name = lambda number: F.concat("p_name", F.lit(" "), F.translate(number.cast("string"), "0123456789", "klmnopqrsz"))
+    states = F.array(F.concat(F.lit("s"), F.col("p_size")))
+    units = part.select(F.concat(F.lit("geolex:"), key).alias("key"), F.concat(name(key % 300), F.lit(" Limestone")).alias("name"), F.lit(True).alias("geolex"), states.alias("states"), key.alias("ord"))
+    mentions = part.select(key.alias("ord"), F.concat(name(key * 7 % 400), F.lit(" shale group")).alias("name"), states.alias("states"))
+    return graph.resolve(mentions, units).select("ord", "core", "key", "outcome")
 
 
 @query("""
@@ -194,17 +169,17 @@ def thickness(spark, sf):
 
 
 @query("""
-SELECT s_suppkey, 'overlies' AS kind, 'Howard Limestone' AS unit FROM supplier WHERE s_suppkey % 2 = 0
-UNION ALL SELECT s_suppkey, 'underlies', 'Church Member' FROM supplier UNION ALL SELECT s_suppkey, 'grades_into', 'Taylor Group' FROM supplier WHERE s_suppkey % 3 = 0""")
+SELECT s_suppkey, 'overlies' AS kind, 'Ostrava Limestone' AS unit FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'underlies', 'Vardar Member' FROM supplier UNION ALL SELECT s_suppkey, 'grades_into', 'Tolmin Group' FROM supplier WHERE s_suppkey % 3 = 0""")
 def relations(spark, sf):
     said = F.concat(
-        F.when(F.col("s_suppkey") % 2 == 0, "It overlies the Howard limestone. ").otherwise("Above North lies nothing. "), F.lit("Below the Church member of Aarde shale. "),
-        F.when(F.col("s_suppkey") % 3 == 0, "Grades laterally into Taylor Group and grades into Taylor group.").otherwise("Overlies Something Unknown."),
+        F.when(F.col("s_suppkey") % 2 == 0, "It overlies the Ostrava limestone. ").otherwise("Above North lies nothing. "), F.lit("Below the Vardar member of Ilmen shale. "),
+        F.when(F.col("s_suppkey") % 3 == 0, "Grades laterally into Tolmin Group and grades into Tolmin group.").otherwise("Overlies Something Unknown."),
     )
-    heads = spark.createDataFrame([("Howard",), ("Church",), ("Taylor",)], "name string")
+    heads = spark.createDataFrame([("Ostrava",), ("Vardar",), ("Tolmin",)], "name string")
     passages = table(spark, sf, "supplier").select(F.col("s_suppkey"), said.alias("passage"))
     found = tagging.relations(passages, heads, "s_suppkey")
-    return found.select("s_suppkey", F.explode("relations").alias("r")).select("s_suppkey", "r.kind", F.initcap("r.unit").alias("unit"))
+    return found.select("s_suppkey", F.explode("relations").alias("r")).select("s_suppkey", "r.kind", "r.unit")
 
 
 @query("""
@@ -297,8 +272,8 @@ WITH x AS (SELECT o_orderkey, o_custkey % 60 AS want, CASE o_orderkey % 3 WHEN 0
 SELECT o_orderkey, kind AS match, CASE kind WHEN 'all' THEN CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.5 END WHEN 'any' THEN 1.0 ELSE CASE WHEN o_custkey = want THEN 1.0 ELSE 0.0 END END AS score FROM x""")
 def match_modes(spark, sf):
     kind = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'any' ELSE 'count' END")
-    answer = F.concat(F.lit("It is "), F.format_number("o_custkey", 0), F.lit(" in the Paleocene of TX"), F.when(F.col("o_orderstatus") == "F", "; Howard beds").otherwise(""))
-    items = F.array(F.when(F.col("o_orderkey") % 2 == 0, "Late Paleocene").otherwise("Texas"), F.lit("Howard Limestone"))
+    answer = F.concat(F.lit("It is "), F.format_number("o_custkey", 0), F.lit(" in the Paleocene of TX"), F.when(F.col("o_orderstatus") == "F", "; Ostrava beds").otherwise(""))
+    items = F.array(F.when(F.col("o_orderkey") % 2 == 0, "Late Paleocene").otherwise("Texas"), F.lit("Ostrava Limestone"))
     score = evaluation.match_score(kind, items, F.col("o_custkey") % 60, answer)
     return table(spark, sf, "orders").select("o_orderkey", kind.alias("match"), score.alias("score"))
 
@@ -358,7 +333,14 @@ def best_validation(spark, sf):
     return monitor.best_validation(_log(spark, sf)).select("run", "nth", F.round("best", 6).alias("best"), "best_iteration", "since")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_LOG}, v AS (SELECT run, nth, v, row_number() OVER (PARTITION BY run ORDER BY nth) AS i FROM l WHERE kind = 'val'),
+f(run, i, nth, v, best, since) AS (SELECT run, i, nth, v, v, 0 FROM v WHERE i = 1 UNION ALL
+ SELECT f.run, v.i, v.nth, v.v, CASE WHEN v.v < f.best - 0.0001 THEN v.v ELSE f.best END, CASE WHEN v.v < f.best - 0.0001 THEN 0 ELSE f.since + 1 END FROM f JOIN v ON v.run = f.run AND v.i = f.i + 1),
+t AS (SELECT run, nth, v, row_number() OVER w AS place, avg(v) OVER (PARTITION BY run ORDER BY nth ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM l WHERE kind = 'train' WINDOW w AS (PARTITION BY run ORDER BY nth)),
+fl AS (SELECT run, nth, recent, avg(CASE WHEN place <= 5 THEN v END) OVER (PARTITION BY run) AS first, place FROM t)
+SELECT run, alarm, min(nth) AS iteration FROM (SELECT run, 'no_improvement' AS alarm, nth FROM f WHERE since >= 3 UNION ALL SELECT run, 'flat', nth FROM fl WHERE place >= 12 AND abs(recent - first) < 0.001
+ UNION ALL SELECT run, 'memorising', nth FROM a WHERE kind = 'val' AND v - latest_train > 0.5) GROUP BY run, alarm""")
 def run_alarms(spark, sf):
     return monitor.alarms(_log(spark, sf))
 
@@ -379,9 +361,14 @@ def newest_checkpoints(spark, sf):
     return evaluation.newest(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 2)
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def resume_anti_join(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
+    """Rows that an interrupted run has still to do."""
+    path, rows = folder(spark), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    files.append_missing(spark, rows.join(done, "c_custkey", "left_semi").withColumn("again", F.lit(False)), path, ["c_custkey"])
+    files.append_missing(spark, rows.withColumn("again", F.lit(True)), path, ["c_custkey"])
+    return spark.read.parquet(path).where("again").select("c_custkey", "c_nationkey")
 
 
 @query("""SELECT c_custkey, coalesce(o_orderstatus, c_mktsegment) AS c_mktsegment, o_orderstatus IS NOT NULL AS reviewed FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY 1) ON o_custkey = c_custkey""")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kelpie.scratch import cut
+
 PASSAGE = (
     "unit_id long, unit_name string, passage string, age_description array<string>, usages array<string>, states array<string>, "
     "ref_lithology array<string>, ref_province array<string>, ref_year int, ref_publication string, source_url string"
@@ -65,6 +67,28 @@ def documents(rows: DataFrame, source: str, id_col: str, text_col: str, title_co
     )
 
 
+def scan_queries(records: DataFrame, queries: list[str], most: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The records that a scan of paged answers takes, query after query: (query, page, pos, ...) with non-empty text.
+
+    The first query to see an id owns it. A query's pages are read until it owns ``most`` records or more;
+    the last page read counts whole. ``queries`` are the caller's few, each a pass over its own records.
+    """
+    taken = None
+    for name in queries:
+        rows = records.where((F.col("query") == name) & (F.coalesce(F.col(text_col), F.lit("")) != ""))
+        if taken is not None:
+            rows = rows.join(taken.select(id_col), id_col, "left_anti").select(*records.columns)
+        first = F.min(F.struct("page", "pos")).alias("x")
+        firsts = rows.groupBy(id_col).agg(first).select(id_col, "x.page", "x.pos")
+        pages = firsts.groupBy("page").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a page
+        read = pages.withColumn("before", before).where(F.col("before") < most).select("page")
+        mine = rows.join(firsts, [id_col, "page", "pos"], "left_semi").join(read, "page", "left_semi").select(*records.columns)
+        mine = mine.dropDuplicates([id_col])
+        taken = cut(mine if taken is None else taken.unionByName(mine))
+    return taken
+
+
 def task_texts(passages_: DataFrame, split_col: str = "split") -> DataFrame:
     """Texts of the train split only, labels dropped."""
     return passages_.where(F.col(split_col) == "train").select("unit_id", "unit_name", "passage")

@@ -10,19 +10,19 @@ def one(spark, make, *values):
 
 
 def test_names(spark):
-    cores = {"Eagle Ford Clay": "eagle ford", "Howard Limestone": "howard", "Kansas City Group": "kansas city", "Limestone": "limestone", "/Sacfox subgroup [informal]": "sacfox", "Foo Shales": "foo"}
+    cores = {"Miller Run Clay": "miller run", "Ostrava Limestone": "ostrava", "Lone Tree Group": "lone tree", "Chalk": "chalk", "/Quill subgroup [local use]": "quill", "Dorn Shales": "dorn"}
     for name, core in cores.items():
         assert one(spark, text.core_name, name) == core
-    assert one(spark, text.clean_name, "/Sacfox subgroup [informal]") == "Sacfox subgroup"
-    ranks = {"Aarde Shale Member": "Member", "Howard Limestone": "Formation", "Wabaunsee Group": "Group", "Nowhere": "Unknown", "": "Unknown", "Some gneiss": "Unknown", "Some series": "Unknown"}
+    assert one(spark, text.clean_name, "/Quill subgroup [local use]") == "Quill subgroup"
+    ranks = {"Ilmen Shale Member": "Member", "Ostrava Limestone": "Formation", "Tessin Group": "Group", "Nowhere": "Unknown", "": "Unknown", "Some gneiss": "Unknown", "Some series": "Unknown"}
     for name, rank in ranks.items():
         assert one(spark, text.rank_of, name) == rank
-    chain = one(spark, text.usage_chain, "Bloomfield limestone in Glenshaw Formation of Conemaugh Group", "Bloomfield")
-    assert chain == ["Bloomfield limestone", "Glenshaw Formation", "Conemaugh Group"]
-    assert one(spark, text.usage_chain, "Misspelled Critizer in early reports.", "Critzer") is None
-    assert one(spark, text.relation_name, "Taylor group") == "Taylor Group"
-    assert one(spark, text.relation_name, "Berea of.") == "Berea"
-    assert one(spark, text.relation_name, "Berea Sandstone of") == "Berea Sandstone"
+    chain = one(spark, text.usage_chain, "Ilmen sandstone in Vardar Formation of Tessin Group", "Ilmen")
+    assert chain == ["Ilmen sandstone", "Vardar Formation", "Tessin Group"]
+    assert one(spark, text.usage_chain, "Written Vadar in an older map.", "Vardar") is None
+    assert one(spark, text.relation_name, "Tessin group") == "Tessin Group"
+    assert one(spark, text.relation_name, "Dorn of.") == "Dorn"
+    assert one(spark, text.relation_name, "Dorn Sandstone of") == "Dorn Sandstone"
 
 
 def test_cleaning(spark):
@@ -51,8 +51,8 @@ def test_reasons(spark):
 
 def test_thickness(spark):
     cases = {
-        "Thickness 100 feet.": (30.48, 30.48), "It is 2 to 7 feet thick here.": (0.61, 2.13), "Unit ranges from 10 to 30 m in thickness.": (10.0, 30.0),
-        "Located 5 miles north; exposed along 200 feet of road.": None, "It is thick. About 1,000 ft thick elsewhere.": (304.8, 304.8),
+        "Thickness 50 feet.": (15.24, 15.24), "It is 3 to 9 feet thick here.": (0.91, 2.74), "Beds of 12 to 40 m in thickness.": (12.0, 40.0),
+        "Lies 12 km south of town; seen for 40 feet in a quarry.": None, "It is thick. About 1,000 ft thick elsewhere.": (304.8, 304.8),
     }
     for passage, found in cases.items():
         got = one(spark, facts.thickness, passage)
@@ -60,11 +60,11 @@ def test_thickness(spark):
 
 
 def test_rank_and_subject(spark):
-    cases = [("Aarde shale member of Howard limestone.", "Aarde", "Member"), ("Austin chalk is exposed nearby.", "Austin", "Formation"), ("Austin Group comprises several units.", "Austin", "Group"), ("Nothing.", "A+b (c)", "Unknown"), ("x", None, "Unknown")]
+    cases = [("Ilmen shale member of Ostrava limestone.", "Ilmen", "Member"), ("Dorn chalk is seen nearby.", "Dorn", "Formation"), ("Dorn Group has several parts.", "Dorn", "Group"), ("Nothing.", "A+b (c)", "Unknown"), ("x", None, "Unknown")]
     for passage, name, rank in cases:
         assert one(spark, facts.infer_rank, passage, name) == rank
-    assert one(spark, facts.subject, "The Austin chalk.", "austin") == "austin"
-    assert one(spark, facts.subject, "x" * 160 + " Austin", "Austin") is None
+    assert one(spark, facts.subject, "The Dorn chalk.", "dorn") == "dorn"
+    assert one(spark, facts.subject, "x" * 160 + " Dorn", "Dorn") is None
     assert one(spark, facts.subject, "Nothing here", "Nowhere") is None
 
 
