@@ -13,7 +13,11 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those that identification rejects go."""
+    """Documents whose language is identified; those that identification rejects go.
+
+    Null, empty and wordless texts have no language and go; repeated rows are judged each and stay or
+    go together; an empty table stays empty; other columns may have any names.
+    """
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with those of the operator
     found = language_id.identify(
         docs.toDF(*place.values()), language_id.learn(docs), place["doc_id"], place["text"], keep=tuple(place.values())
@@ -25,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8 or more).
 
     Documents without words or id are in no group and stay. Rows repeated with their id and text
-    are one document.
+    are one document. An empty table stays empty; other columns may have any names.
     """
     found = near_dup.near_duplicates(docs)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
@@ -38,7 +42,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each span of personal data replaced by its kind."""
+    """All documents, with each span of personal data replaced by its kind.
+
+    Null texts stay null, ``n_chars`` follows the text; other columns may have any names.
+    """
     out = pii.redact_texts(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -46,12 +53,19 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each document and each time that the mix reads of it."""
+    """The mix of sources: a row for each document and each time that the mix reads of it.
+
+    Null and wordless texts are never read; a null source is one like others; repeated rows are
+    documents each; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins; what the mix reads of one document twice never shares a bin."""
+    """Pieces of documents in bins; what the mix reads of one document twice never shares a bin.
+
+    Documents without an id conflict with none; null and wordless texts have no piece.
+    """
     return packing.pack_documents(docs, F.col("doc_id"), with_text=True)
 
 
@@ -65,6 +79,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``: doc_id, source, shard, bin, offset, from_word, n_words, text; no rows of an empty table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         done = stage(spark, docs, sf_dir)
