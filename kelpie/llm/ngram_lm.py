@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 
 from kelpie.llm import kernels as K
 from kelpie.llm.samples import remainder
-from kelpie.scratch import cut
 
 U = np.uint64
 #: Bytes of text in a block, and blocks at least.
 BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 32
 #: Bytes of text whose n-grams a range holds, and ranges at least.
-RANGE_BYTES, LEAST_RANGES = 24 << 20, 32
+RANGE_BYTES, LEAST_RANGES = 16 << 20, 32
 MU = 100.0
 _END = np.array([K.salt(0xE0D)], np.uint64)
 
@@ -87,7 +86,8 @@ def _edges(parts: int) -> np.ndarray:
 
 
 ASKED = "part int, block int, keys array<binary>, counts array<binary>"
-TOLD = "block int, part int, totals array<binary>, n long, v long"
+TOLD = "block int, part int, totals array<binary>"
+SUMS = "n long, v long"
 _LISTS = pa.list_(pa.binary())
 
 
@@ -115,31 +115,37 @@ def _ask(ranges: int, order: int):
     return run
 
 
+def _totals(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys that each block asked for, the numbers of all of them among the distinct ones, and these ones' totals."""
+    asked = [np.cumsum(_values(x[k].as_py())) for x in K.column(table, "keys")]
+    found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.zeros(len(found), np.uint64)
+    np.add.at(totals, inverse, np.concatenate([_values(x[k].as_py()) for x in K.column(table, "counts")]))
+    return asked, inverse, totals
+
+
 def _tell(order: int):
-    """The totals of a hash range for each block that asked, and the range's share of N and V."""
+    """The totals of a hash range for each block that asked."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out: list[list[bytes]] = [[] for _ in range(table.num_rows)]
-        n = v = 0
         for k in range(order):
-            asked = [np.cumsum(_values(x[k].as_py())) for x in K.column(table, "keys")]
-            found, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-            totals = np.zeros(len(found), np.uint64)
-            np.add.at(totals, inverse, np.concatenate([_values(x[k].as_py()) for x in K.column(table, "counts")]))
-            if k == 0:
-                n, v = int(totals.sum()), int((totals > 0).sum())
-            answer, start = totals[inverse], 0
+            asked, inverse, totals = _totals(table, k)
+            start = 0
             for i, a in enumerate(asked):
-                out[i].append(_planes(answer[start : start + len(a)]))
+                out[i].append(_planes(totals[inverse[start : start + len(a)]]))
                 start += len(a)
-        each = lambda x, kind: pa.array([x] * len(out), kind)
-        return pa.table(
-            {"block": K.column(table, "block"), "part": each(key[0].as_py(), pa.int32()), "totals": pa.array(out, _LISTS), "n": each(n, pa.int64()), "v": each(v, pa.int64())}
-        )
+        return pa.table({"block": K.column(table, "block"), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "totals": pa.array(out, _LISTS)})
 
     return run
 
 
+def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The range's share of N and V."""
+    _, _, totals = _totals(table, 0)
+    return pa.table({"n": pa.array([int(totals.sum())], pa.int64()), "v": pa.array([int((totals > 0).sum())], pa.int64())})
+
+
 class Automaton:
     """The slice of the backoff automaton that the traversals of some token sequences can reach.
 
@@ -219,8 +225,9 @@ class Automaton:
 SCORED = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, mu: float, n: int, v: int):
+def _score(order: int, mu: float):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        n, v = (K.column(told, c)[0].as_py() for c in ("n", "v"))
         words, rows = tokens(K.column(docs, "text"))
         by_part, column = np.argsort(K.column(told, "part").to_numpy()), K.column(told, "totals")
         totals = [np.concatenate([_values(column[int(i)][k].as_py()) for i in by_part] or [np.zeros(0, np.uint64)]) for k in range(order)]
@@ -255,9 +262,10 @@ def score_texts(docs: DataFrame, train, order: int = 2, mu: float = MU, id_col:
     ranges = max(LEAST_RANGES, -(-total // RANGE_BYTES))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     asked = docs.groupBy("block").applyInArrow(_ask(ranges, order), ASKED)
-    told = cut(asked.groupBy("part").applyInArrow(_tell(order), TOLD))
-    sums = told.select("part", "n", "v").distinct().agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, mu, sums["n"] or 0, sums["v"] or 0), SCORED)
+    told = asked.groupBy("part").applyInArrow(_tell(order), TOLD)
+    sums = asked.groupBy("part").applyInArrow(_sum, SUMS).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    told = told.crossJoin(F.broadcast(sums))  # one row
+    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, mu), SCORED)
     return scored.withColumnRenamed("id", id_col)
 
 
