@@ -216,7 +216,7 @@ def build(passages: DataFrame, intervals: DataFrame, tags: DataFrame, labels: Da
     """
     first = F.min_by(F.struct("unit_name", "states", "usages", "age_description", "ref_province", "ref_lithology", "source_url"), "ord").alias("r")
     heads = passages.groupBy("unit_id").agg(first, F.min("ord").alias("ord")).select("unit_id", "ord", "r.*")
-    heads = heads.withColumn("key", F.concat(F.lit("geolex:"), F.col("unit_id")))
+    heads = cut(heads.withColumn("key", F.concat(F.lit("geolex:"), F.col("unit_id"))))  # tables that several edges are made of are computed once
     chains = heads.select("key", "states", "ord", F.posexplode("usages").alias("u", "usage"), "unit_name")
     chains = chains.withColumn("chain", text.usage_chain(F.col("usage"), F.col("unit_name"))).where("chain is not null")
     firsts = chains.groupBy("key").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("u", "chain"))), lambda x: F.get(x["chain"], F.lit(0)))).alias("aliases"))
@@ -226,6 +226,7 @@ def build(passages: DataFrame, intervals: DataFrame, tags: DataFrame, labels: Da
         F.coalesce(text.rank_of(F.get("aliases", F.lit(0))), F.lit("Unknown")).alias("rank"), F.lit(True).alias("geolex"),
         F.array_sort("states").alias("states"), F.coalesce("aliases", none).alias("aliases"), F.col("source_url").alias("url"), F.col("age_description").alias("age_text"), "ord",
     )
+    units = cut(units)
     each = lambda c: heads.select("key", "ord", F.explode(c).alias("v"))
     ref = lambda prefix, c: F.concat(F.lit(prefix + ":"), F.col(c))
     raw = [
@@ -238,13 +239,13 @@ def build(passages: DataFrame, intervals: DataFrame, tags: DataFrame, labels: Da
     steps = chains.select("key", "states", "ord", "u", F.array_join("chain", " of ").alias("usage"), F.posexplode("chain").alias("i", "name")).where("i > 0")
     numbered = passages.withColumn("n", F.row_number().over(Window.partitionBy("unit_id").orderBy("ord")) - 1)
     numbered = numbered.withColumn("id", F.concat_ws(":", "unit_id", "n")).join(heads.select("unit_id", "key"), "unit_id")
-    stated = numbered.select("ord", "id", F.col("key"), "states").join(labels, "ord").where("target.unit_name is not null")
+    stated = cut(numbered.select("ord", "id", F.col("key"), "states").join(labels, "ord").where("target.unit_name is not null"))
     related = stated.select("ord", "id", F.col("key").alias("own"), "states", F.posexplode("target.relations").alias("i", "rel"))
     mentions = steps.select(F.struct(F.lit(0).alias("s"), F.col("ord"), F.col("u").alias("b"), F.col("i").alias("c"), F.col("key").alias("at")).alias("ord"), "name", "states", F.col("usage"), F.lit(None).cast("string").alias("kind"))
     mentions = mentions.unionByName(
         related.select(F.struct(F.lit(1).alias("s"), F.col("ord"), F.col("i").alias("b"), F.lit(0).alias("c"), F.col("own").alias("at")).alias("ord"), F.col("rel.unit").alias("name"), "states", F.col("id").alias("usage"), F.col("rel.kind").alias("kind"))
     )
-    found = resolve(mentions, units)
+    found = cut(resolve(mentions, units))
     chain_order = Window.partitionBy("ord.at", "ord.b", "ord.ord").orderBy("ord.c")
     ups = found.where("ord.s = 0").withColumn("below", F.coalesce(F.lag("key").over(chain_order), F.col("ord.at"))).withColumn("o", F.col("ord.ord"))
     raw.append(edge(ups, "PART_OF", F.col("below"), F.col("key"), "geolex", usage=F.col("usage"), order="o"))

@@ -190,48 +190,80 @@ def surface_index(units: DataFrame) -> DataFrame:
     return forms.where("length(form) >= 3").distinct()
 
 
-def link(question: str, units: list[dict], intervals: list[str], lithologies: list[str], forms: dict[str, set[str]], most: int = 6) -> dict[str, list]:
-    """Entities of one question: units, intervals, states, lithologies.
+class Linker:
+    """Links questions to the units, intervals, states and lithologies of one graph.
 
-    ``units`` and the rest are the small tables of one graph, collected by the caller. The longest
-    phrase wins; of equal ones a state before an interval, a unit (capital required), a rock. A
-    unit's phrase takes rank and rock words that follow it. Of homonyms curated ones go first,
-    then those in a state of the question; three at most, by key.
+    The longest phrase wins; of equal ones a state before an interval, a unit (capital required), a
+    rock. A unit's phrase takes rank and rock words that follow it. Of homonyms curated ones go
+    first, then those in a state of the question; three at most, by key.
     """
-    words = _WORD.findall(question)
-    low = [w.lower() for w in words]
-    states = {k: v for k, v in fixed.STATES.items() if k != "alaska peninsula"}
-    named = {i.lower(): i for i in intervals}
-    rocks = {r + s: r for s in ("s", "") for r in lithologies}
-    kinds = (("states", states), ("intervals", named), ("units", forms), ("lithologies", rocks))
-
-    def readings():
+
+    def __init__(self, units: list[dict], intervals: list[str], lithologies: list[str], forms: dict[str, set[str]], most: int = 6):
+        self.most, self.by_key = most, {u["key"]: u for u in units}
+        self.states = {k: v for k, v in fixed.STATES.items() if k != "alaska peninsula"}
+        named = {i.lower(): i for i in intervals}
+        rocks = {r + s: r for s in ("s", "") for r in lithologies}
+        self.kinds = (("states", self.states), ("intervals", named), ("units", forms), ("lithologies", rocks))
+        self.tails = {*fixed.RANK_WORDS, *fixed.LITH_AS_RANK, "serie"}
+
+    def readings(self, words: list[str], low: list[str]) -> Iterator[tuple]:
         """All phrases that mean something, by place, the longest first."""
         for i in range(len(words)):
-            for n in range(min(most, len(words) - i), 0, -1):
+            for n in range(min(self.most, len(words) - i), 0, -1):
                 phrase = " ".join(low[i : i + n])
                 fits = {"states": True, "intervals": True, "units": words[i][0].isupper(), "lithologies": n == 1}
-                kind = next((k for k, known in kinds if phrase in known and fits[k]), None)
-                if kind:
-                    yield i, n, kind, dict(kinds)[kind][phrase]
-
-    tails = {*fixed.RANK_WORDS, *fixed.LITH_AS_RANK, "serie"}
-    found: dict[str, list] = {k: [] for k, _ in kinds}
-    free = 0
-    for i, n, kind, meaning in readings():
-        if i >= free:
-            free = i + n
-            if kind == "units":
-                free += next((j for j, w in enumerate(low[free:]) if w.rstrip("s") not in tails), len(low) - free)
-            found[kind].append(meaning)
-    found["states"] += [w for w in words if w in states.values()]
-    by_key = {u["key"]: u for u in units}
-    chosen: list[str] = []
-    for keys in found["units"]:
-        rank = lambda u: (not u["geolex"], not set(u["states"]) & set(found["states"]), u["key"])
-        ordered = sorted((by_key[k] for k in keys), key=rank)
-        chosen += [u["key"] for u in ordered if rank(u)[:2] == rank(ordered[0])[:2]][:3]
-    return {k: list(dict.fromkeys(chosen if k == "units" else v)) for k, v in found.items()}
+                meant = next(((k, known[phrase]) for k, known in self.kinds if phrase in known and fits[k]), None)
+                if meant:
+                    yield i, n, *meant
+
+    def link(self, question: str | None) -> dict[str, list]:
+        words = _WORD.findall(question or "")
+        low = [w.lower() for w in words]
+        found: dict[str, list] = {k: [] for k, _ in self.kinds}
+        free = 0
+        for i, n, kind, meaning in self.readings(words, low):
+            if i >= free:
+                free = i + n
+                if kind == "units":
+                    free += next((j for j, w in enumerate(low[free:]) if w.rstrip("s") not in self.tails), len(low) - free)
+                found[kind].append(meaning)
+        codes = set(self.states.values())
+        found["states"] += [w for w in words if w in codes]
+        chosen: list[str] = []
+        for keys in found["units"]:
+            rank = lambda u: (not u["geolex"], not set(u["states"]) & set(found["states"]), u["key"])
+            ordered = sorted((self.by_key[k] for k in keys), key=rank)
+            chosen += [u["key"] for u in ordered if rank(u)[:2] == rank(ordered[0])[:2]][:3]
+        return {k: list(dict.fromkeys(chosen if k == "units" else v)) for k, v in found.items()}
+
+
+def link(question: str, units: list[dict], intervals: list[str], lithologies: list[str], forms: dict[str, set[str]], most: int = 6) -> dict[str, list]:
+    """Entities of one question: units, intervals, states, lithologies; see :class:`Linker`."""
+    return Linker(units, intervals, lithologies, forms, most).link(question)
+
+
+def link_all(questions: DataFrame, units: DataFrame, intervals: DataFrame, lithologies: DataFrame, id_col: str = "id", text_col: str = "question") -> DataFrame:
+    """(id, units, intervals, states, lithologies): the entities of each question of a table; null has none.
+
+    ``units`` has key, name, full_name, aliases, geolex and states, the others a column name. One
+    graph's names are sent to the tasks; over ``SENT_ENTRIES`` forms it is an error.
+    """
+    index = surface_index(units).groupBy("form").agg(F.collect_set("key").alias("keys")).limit(SENT_ENTRIES + 1).collect()
+    if len(index) > SENT_ENTRIES:
+        raise ValueError(f"over {SENT_ENTRIES} names: link against fewer units")
+    known = [r.asDict() for r in units.select("key", "geolex", F.coalesce("states", F.array().cast("array<string>")).alias("states")).collect()]
+    names = [[r["name"] for r in t.select("name").distinct().limit(SENT_ENTRIES).collect()] for t in (intervals, lithologies)]
+    sent = questions.sparkSession.sparkContext.broadcast(Linker(known, *names, {r["form"]: set(r["keys"]) for r in index}))
+    fields = ["units", "intervals", "states", "lithologies"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sent.value.link(q) for q in batch["question"]]
+            yield pd.DataFrame({"id": batch["id"], **{f: [x[f] for x in found] for f in fields}})
+
+    kind = questions.schema[id_col].dataType.simpleString()
+    out = questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("question")).mapInPandas(run, f"id {kind}, " + ", ".join(f"{f} array<string>" for f in fields))
+    return out.withColumnRenamed("id", id_col)
 
 
 def cloze_probes(docs: DataFrame, vocabulary: DataFrame, n: int, distractors: int = 3, seed: int = 17, order: str = "ord", text_col: str = "text") -> DataFrame:

@@ -322,3 +322,23 @@ def graph_answers(spark, sf):
             rows = sorted({line.split('": "')[1].rstrip('"}') for line in context.split("\n") if line.startswith('{"' + field)})
             out.append((u["full_name"], ",".join(rows), asked, retrieval.answer(question, context) != retrieval.ABSTAIN))
     return spark.createDataFrame(out, "unit string, rows string, asked string, answered boolean")
+
+
+@query(f"""{lexicon._ALL}, qs AS (SELECT k AS id, CASE k % 3 WHEN 0 THEN 'How old is the ' || unit_name || ' Shale in ' || CASE n % 2 WHEN 0 THEN 'West Virginia' ELSE 'Texas' END || '?' WHEN 1 THEN 'Which Late Cretaceous ' || rock || 's lie near ' || unit_name || ' in KS?' ELSE 'what of ' || lower(unit_name) || ' shale?' END AS q FROM lex),
+tk AS (SELECT id, q, string_split(regexp_replace(q, '[?]', ''), ' ') AS w FROM qs),
+un AS (SELECT tk.id, list(DISTINCT h.key) AS units FROM (SELECT id, unnest(w) AS w FROM tk) tk JOIN head h ON h.unit_name = tk.w GROUP BY tk.id)
+SELECT id, coalesce(array_to_string(units, ','), '') AS units, CASE WHEN contains(q, 'Late Cretaceous') THEN 'Late Cretaceous' ELSE '' END AS intervals,
+ CASE WHEN contains(q, 'West Virginia') THEN 'WV' WHEN contains(q, 'Texas') THEN 'TX' WHEN contains(q, 'KS') THEN 'KS' ELSE '' END AS states,
+ CASE WHEN regexp_matches(q, '^Which') THEN regexp_extract(q, '(shale|limestone|sandstone|chalk|marl)s lie', 1) WHEN regexp_matches(q, '^what') THEN 'shale' WHEN units IS NULL THEN 'shale' ELSE '' END AS lithologies FROM tk LEFT JOIN un USING (id)""")
+def linked_questions(spark, sf):
+    """The units, intervals, states and rocks that each question of a table names."""
+    g = lexicon._graph(spark, sf)
+    key, unit = F.col("p_partkey"), lexicon._name(F.floor(F.col("p_partkey") / 4))
+    rock = F.element_at(F.array(*[F.lit(r) for r in lexicon.ROCKS]), (key % 5 + 1).cast("int"))
+    asked = (
+        F.when(key % 3 == 0, F.concat(F.lit("How old is the "), unit, F.lit(" Shale in "), F.when(F.col("p_size") % 2 == 0, "West Virginia").otherwise("Texas"), F.lit("?")))
+        .when(key % 3 == 1, F.concat(F.lit("Which Late Cretaceous "), rock, F.lit("s lie near "), unit, F.lit(" in KS?"))).otherwise(F.concat(F.lit("what of "), F.lower(unit), F.lit(" shale?")))
+    )
+    rocks = spark.createDataFrame([(r,) for r in lexicon.ROCKS], "name string")
+    found = tagging.link_all(table(spark, sf, "part").select(key.alias("id"), asked.alias("question")), g["units"].where("geolex"), g["intervals"], rocks)
+    return found.select("id", *[F.array_join(c, ",").alias(c) for c in ("units", "intervals", "states", "lithologies")])
