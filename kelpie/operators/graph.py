@@ -15,6 +15,7 @@ RAW_EDGE = "type string, src string, dst string, source string, passage string,
 KINDS = {"geolex": "Unit", "name": "Unit", "passage": "Passage", "interval": "Interval", "lithology": "Lithology", "mineral": "Mineral", "state": "State", "province": "Province"}
 EPSILON = 0.01
 SALTS = 32
+BUCKETS = 256
 
 
 def merge_edges(raw: DataFrame) -> DataFrame:
@@ -81,15 +82,23 @@ def placeholders(resolved: DataFrame) -> DataFrame:
 def within(intervals: DataFrame) -> DataFrame:
     """(child, parent): each interval's containers of the next higher rank that has any.
 
-    The range join is one of distinct spans (rank and ages), of which there are few however many
-    intervals have them. Names come back by equi-joins; parents are repeated for each of ``SALTS``
+    The range join is one of distinct spans (rank and ages), however many intervals have them. It is
+    an equi-join on ``BUCKETS`` equal parts of all ages: a child is in the part of its top, a parent in
+    all parts that it covers; a span whose base is younger than its top holds none. Names come back by equi-joins; parents are repeated for each of ``SALTS``
     parts of the children, so that a span that very many intervals have is no single task.
     """
     ranks = F.array(*[F.lit(r) for r in fixed.INTERVAL_RANKS])
     leveled = intervals.withColumn("level", F.array_position(ranks, F.col("rank"))).where("level > 0").select("name", "t_age", "b_age", "level")
     spans = cut(leveled.select("t_age", "b_age", "level").distinct())
     c, p = spans.toDF("ct", "cb", "cl"), spans.toDF("pt", "pb", "pl")
-    pairs = cut(c.join(p, (F.col("pl") > F.col("cl")) & (F.col("pt") - EPSILON <= F.col("ct")) & (F.col("cb") <= F.col("pb") + EPSILON)))
+    ends = spans.agg(F.min("t_age").alias("low"), F.max("b_age").alias("high")).first()
+    low = ends["low"] or 0.0
+    width = max(((ends["high"] or 0.0) - low) / BUCKETS, EPSILON)
+    bucket = lambda age: F.floor((age - low) / width)
+    c = c.withColumn("bucket", bucket(F.col("ct")))
+    p = p.where("pb >= pt").withColumn("bucket", F.explode(F.sequence(bucket(F.col("pt") - EPSILON), bucket(F.col("pb") + EPSILON))))
+    holds = (F.col("pl") > F.col("cl")) & (F.col("pt") - EPSILON <= F.col("ct")) & (F.col("cb") <= F.col("pb") + EPSILON)
+    pairs = cut(c.join(p, "bucket").where(holds).drop("bucket"))
     least = pairs.groupBy("ct", "cb", "cl").agg(F.min("pl").alias("pl"))
     children = leveled.toDF("child", "ct", "cb", "cl").join(least, ["ct", "cb", "cl"]).withColumn("least", F.min("pl").over(Window.partitionBy("child"))).where("pl = least")
     children = children.withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")).join(pairs, ["ct", "cb", "cl", "pl"])
