@@ -37,7 +37,7 @@ def dataset_card(passages: DataFrame, rows: DataFrame) -> DataFrame:
     n = F.count("*").alias
     every = Window.partitionBy()
     card = rows.groupBy("split").agg(n("rows"), F.countDistinct("unit_id").alias("units"))
-    return card.withColumn("kept", F.sum("rows").over(every)).withColumn("passages", F.lit(passages.count()))
+    return card.withColumn("kept", F.sum("rows").over(every)).withColumn("passages", F.lit(passages.count()).cast("long"))
 
 
 def pretraining_corpus(domain: DataFrame, general: DataFrame, replay: float = 0.15, held_out: int = 300, near: bool = True, seed: int = 17, **limits) -> dict[str, DataFrame]:

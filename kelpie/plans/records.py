@@ -164,7 +164,7 @@ def reviewed_gold(spark, sf):
 WITH s AS (SELECT 'r' || n_nationkey AS run, n_nationkey * 100 AS iters_done, n_nationkey / 7.0 AS best_val_loss, n_nationkey / 3.0 AS test_loss, n_nationkey * 1.26 AS wall_minutes, n_regionkey AS alerts FROM nation),
 e AS (SELECT 'r' || (p_partkey % 30) AS run, CASE WHEN p_partkey < 20 THEN 'tuned' ELSE 'base' END AS system, p_size / 77.0 AS macro_f1, p_size / 50.0 AS parse_rate FROM part WHERE p_partkey < 45),
 b AS (SELECT run, arg_min(macro_f1, system <> 'tuned') AS macro_f1, arg_min(parse_rate, system <> 'tuned') AS parse_rate FROM e GROUP BY run)
-SELECT run, iters_done, round(best_val_loss, 4) AS best_val_loss, round(test_loss, 4) AS test_loss, round(macro_f1, 3) AS macro_f1, round(parse_rate, 3) AS parse_rate, round(wall_minutes, 1) AS wall_minutes, CAST(alerts AS INTEGER) AS alerts FROM s LEFT JOIN b USING (run)""")
+SELECT run, iters_done, round(best_val_loss, 4) AS best_val_loss, round(test_loss, 4) AS test_loss, round(macro_f1, 3) AS macro_f1, round(parse_rate, 3) AS parse_rate, CAST(round(wall_minutes, 1) AS DOUBLE) AS wall_minutes, CAST(alerts AS INTEGER) AS alerts FROM s LEFT JOIN b USING (run)""")
 def run_comparison(spark, sf):
     """Every run beside its evaluation, the tuned system before the base."""
     n = F.col("n_nationkey")
