@@ -1,6 +1,7 @@
 import datetime  # noqa: F401
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,6 +333,38 @@ def test_spans_shared_by_many_intervals(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted([*((f"c{i}", "c1") for i in range(3000)), ("e", "g"), ("f", "g")])
 
 
+def test_pairs_of_large_spans_need_little_disk(spark, tmp_path):
+    def shuffled():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    many = spark.range(4000).select(F.concat(F.lit("p"), "id").alias("name"), F.when(F.col("id") % 2 == 0, "age").otherwise("era").alias("rank"), F.lit(1.0).alias("t_age"), F.lit(2.0).alias("b_age"))
+    many, before = many.repartition(4), shuffled()
+    graph.within(many).write.parquet(path := f"{tmp_path}/pairs")
+    assert sum(n for k, n in shuffled().items() if k not in before) < 3 * 4000 + 4000  # rows; lists of names go to cells, not each name
+    found = spark.read.parquet(path)
+    assert found.count() == found.distinct().count() == 2000 * 2000
+    assert found.where("int(substr(child, 2)) % 2 = 1 or int(substr(parent, 2)) % 2 = 0").count() == 0
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2000 * 2000  # under a byte a pair
+
+
+def test_intervals_of_any_shape(spark):
+    rng = random.Random(5)
+    ranks = ["age", "epoch", "period", "era", "eon", "stage", None]
+    rows = [(rng.choice([None, f"n{rng.randrange(400)}"]) if i % 50 == 0 else f"n{i % 700}", rng.choice(ranks), float(t := rng.randrange(40)), t + float(rng.choice([0, 1, 5, 20]))) for i in range(900)]
+    rows += [("x", "era", None, 9.0), ("y", "age", 3.0, None), *[("many", "era", 0.0, 50.0)] * 600, *[(f"c{i}", "age", 0.5 + i / 100, 1.0 + i / 100) for i in range(1500)]]
+    level = {r: i for i, r in enumerate(fixed.INTERVAL_RANKS)}
+    known = [(n, level[r], t, b) for n, r, t, b in rows if r in level and t is not None and b is not None]
+    over = {x: [(y[0], y[1]) for y in known if y[1] > x[1] and y[2] - 0.01 <= x[2] and x[3] <= y[3] + 0.01] for x in set(known)}
+    least = {}
+    for x, above in over.items():
+        least[x[0]] = min([least.get(x[0], 99), *(r for _, r in above)])
+    want = Counter((x[0], n) for x in known for n, r in over[x] if r == least[x[0]] == min(r for _, r in over[x]))
+    found = graph.within(frame(spark, rows, "name string, rank string, t_age double, b_age double"))
+    assert Counter(tuple(r) for r in found.collect()) == want and (None in {n for n, _ in want})
+
+
 def test_core_of_very_many_units(spark):
     units = spark.range(20000).select(F.concat(F.lit("geolex:"), "id").alias("key"), F.lit("Ada").alias("name"), F.lit(True).alias("geolex"), F.array(F.concat(F.lit("s"), F.col("id") % 50)).alias("states"), F.col("id").alias("ord"))
     asked = spark.range(200).select(F.col("id").alias("ord"), F.lit("Ada Group").alias("name"), F.array(F.concat(F.lit("s"), "id")).alias("states"))
