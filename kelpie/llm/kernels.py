@@ -7,7 +7,9 @@ A-Z has been lower-cased; in UTF-8 this equals the same rule on code points. A w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER_BYTE = _BYTE[LOWER]
-_powers: dict[str, np.ndarray] = {}
+#: Powers are products of two: one below so many, and a multiple of it. Tables of all powers up to a text's length would stay in each worker.
+_LOW = 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,16 +43,37 @@ def salt(n: int) -> np.uint64:
     return U(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 1 << 24:
-            _powers[name] = have
-    return have
+def _first_powers(base: np.uint64 | np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` to the powers 0 .. ``_LOW`` - 1, and to their multiples of ``_LOW`` below ``n``."""
+    low = _first_powers(base, _LOW)
+    return low, _first_powers(low[-1:] * base, -(-n // _LOW))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and each kept what its largest task had taken."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The Arrow mapper ``run``, before and after which the worker returns freed memory."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a grouped function's tables took is free only now
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +125,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.multiply(_LOWER_BYTE[data], _power("up", _BASE, n)[:n], out=sums[1:])
+    np.take(_LOWER_BYTE, data, out=sums[1:])
+    low, high = _powers(_BASE, n)
+    whole = n // _LOW * _LOW
+    blocks = sums[1 : whole + 1].reshape(-1, _LOW)
+    blocks *= low
+    blocks *= high[: len(blocks), None]
+    sums[whole + 1 :] *= low[: n - whole] * high[-1]
     np.cumsum(sums[1:], out=sums[1:])
-    out = (sums[ends] - sums[begins]) * _power("down", _INVERSE, n)[begins]
+    low, high = _powers(_INVERSE, n)
+    out = (sums[ends] - sums[begins]) * low[begins % _LOW] * high[begins // _LOW]
     out += (ends - begins).astype(np.uint64) * U(0xD6E8FEB86659FD93)
     return mix(out), rows
 

@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 names=[*kept, "lang_pred", "score", "rejected"],
             )
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(K.giving_back(run), schema)
 
 
 def learn(docs: DataFrame) -> Model:

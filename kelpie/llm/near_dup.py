@@ -40,6 +40,8 @@ ERRORS = 6
 BLOCK, ASKING = 256, 256
 #: Members of a bucket that are compared by signature with so many others at a time.
 CELL = 1024
+#: Bytes of text that are hashed and drawn at a time, which bounds a worker's arrays on the way.
+RUN = 1 << 19
 #: Parts of the rows that ask for one block, while they are numbered.
 SALTS = 8
 _FRACTION = U(40)
@@ -98,7 +100,7 @@ def _sketch(words: int, bands: int):
         for batch in batches:
             data, offsets = K.buffers(K.column(batch, "text"))
             ids = K.column(batch, "id")
-            for i, j in K.runs(offsets):
+            for i, j in K.runs(offsets, RUN):
                 grams, rows = K.shingles(*K.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), words)
                 sizes = np.diff(rows)
                 sums = [np.concatenate([[U(0)], np.cumsum(K.mix(grams ^ U(s)))]) for s in (0x1F83D9AB, 0x5BE0CD19)]
@@ -137,7 +139,7 @@ def _sets(words: int):
         for batch in batches:
             data, offsets = K.buffers(K.column(batch, "text"))
             ids = K.column(batch, "id")
-            for i, j in K.runs(offsets):
+            for i, j in K.runs(offsets, RUN):
                 grams, rows = K.shingles(*K.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), words)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), _binary(grams.view(np.uint8), rows * 8)], names=["id", "set"])
 
@@ -280,7 +282,7 @@ def near_duplicates(
         raise ValueError("percent is between 40 and 100")
     bands = bands_for(percent)
     m = bands * ROWS
-    sketch = cut(docs.mapInArrow(_sketch(words, bands), SKETCH))
+    sketch = cut(docs.mapInArrow(K.giving_back(_sketch(words, bands)), SKETCH))
     same = ["n_shingles", "fp1", "fp2"]
     reps = cut(
         sketch.where("n_shingles > 0 and id is not null")
@@ -295,7 +297,7 @@ def near_duplicates(
 
     # The same plan at every size: a broadcast of the ids would not hold for a large table.
     wanted = members.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash")
-    sets = cut(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, set binary"))
+    sets = cut(docs.join(wanted, "id", "left_semi").mapInArrow(K.giving_back(_sets(words)), "id long, set binary"))
 
     stars = (
         members.where("rep <> centre")
@@ -305,9 +307,9 @@ def near_duplicates(
         .join(sigs.toDF("b", "nb", "sb"), "b")
         .select("a", "b", "na", "nb", "sa", "sb")
     )
-    stars = stars.mapInArrow(_estimated(percent, m), "a long, b long")
+    stars = stars.mapInArrow(K.giving_back(_estimated(percent, m)), "a long, b long")
     stars = stars.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    links = cut(stars.mapInArrow(_linked(percent), "a long, b long").distinct())
+    links = cut(stars.mapInArrow(K.giving_back(_linked(percent)), "a long, b long").distinct())
     roots = components(links)
 
     sizes = roots.groupBy("root").agg(F.count("*").alias("csize"))
@@ -336,7 +338,7 @@ def near_duplicates(
     spread = packed.where("of > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     spread = spread.groupBy("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi")).agg(F.collect_list("cell").alias("cells"))
     met = packed.where("of = 1").select(F.array("cell").alias("cells")).unionByName(spread.where("lo = hi or size(cells) = 2").select("cells"))
-    told = met.mapInArrow(_asks(percent, m), "y long, places array<struct<anchor:long,blk:long>>")
+    told = met.mapInArrow(K.giving_back(_asks(percent, m)), "y long, places array<struct<anchor:long,blk:long>>")
     told = told.groupBy("y").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     asks = cut(told.select("y", F.explode("places").alias("x")).select("y", "x.anchor", "x.blk").withColumn("salt", F.pmod(F.xxhash64("y", F.lit(2)), F.lit(SALTS))))
     place = ["anchor", "blk", "chunk"]

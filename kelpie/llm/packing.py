@@ -124,7 +124,13 @@ def _pack_shard(capacity: int, per_source: int, with_text: bool):
             out["text"] = pa.array(pieces, pa.string())
         return pa.table(out)
 
-    return run
+    def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            K.give_back()
+
+    return whole
 
 
 PIECES = "doc_id long, source string, shard int, bin long, offset long, from_word long, n_words long"

@@ -284,7 +284,7 @@ def _per_batch(sent, make, schema_names: list[str]):
             texts = [t or "" for t in K.column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(make(batch, texts, _fitted[model].find(texts)), names=schema_names)
 
-    return run
+    return K.giving_back(run)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

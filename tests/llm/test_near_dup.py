@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -171,6 +173,47 @@ def test_word_hashes_follow_the_word_rule():
     assert hashes[0] == hashes[2] == hashes[-2]
 
 
+def test_word_hashes_of_long_texts():
+    """Equal to the polynomial at every length around the tables' and on large texts."""
+    rng = np.random.default_rng(6)
+    low = kernels._LOW
+    for n in (1, low - 1, low, low + 1, 3 * low, 5 * low + 17):
+        data = rng.choice(np.frombuffer(b"abcXYZ0  \n\xc3\xa4", np.uint8), n)
+        hashes, _ = kernels.word_hashes(data, np.array([0, n]))
+        want = []
+        for w in data.tobytes().lower().split():
+            powers = [pow(int(kernels._BASE), i, 1 << 64) for i in range(len(w))]
+            total = sum(int(kernels._BYTE[b]) * p for b, p in zip(w, powers, strict=True)) + len(w) * 0xD6E8FEB86659FD93
+            want.append(total % (1 << 64))
+        assert hashes.tolist() == kernels.mix(np.array(want, np.uint64)).tolist()
+
+
+KEPT = """
+import re
+import numpy as np, pyarrow as pa
+from kelpie.llm import kernels, near_dup
+now = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+def task(n):
+    rng = np.random.default_rng(n)
+    texts = pa.array(" ".join(map(str, rng.integers(0, 1 << 20, 450))) for _ in range(n))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), texts], names=["id", "text"])
+    for made in SKETCH(iter([batch])):
+        pass
+SKETCH = getattr(kernels, "giving_back", lambda run: run)(near_dup._sketch(5, 22))
+task(10)
+before = now()
+task(6000)
+print(now() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_worker_gives_memory_back():
+    """What a task of 20 MB of text took isn't kept by its worker, which later tasks find beside theirs."""
+    done = subprocess.run([sys.executable, "-c", KEPT], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 48
+
+
 if __name__ == "__main__":
     # python tests/llm/test_near_dup.py FOLDER: op1's groups on a folder of tables against those of the exact join.
     import sys
