@@ -349,6 +349,23 @@ def test_pairs_of_large_spans_need_little_disk(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2000 * 2000  # under a byte a pair
 
 
+def test_first_pair_comes_before_all_of_a_cell(spark):
+    def made(plan):
+        own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return made(plan.executedPlan())
+        if plan.nodeName() == "ResultQueryStage":
+            return made(plan.plan())
+        below = plan.children()
+        return own + [n for i in range(below.size()) for n in made(below.apply(i))]
+
+    many = spark.range(24000).select(F.concat(F.lit("p"), "id").alias("name"), F.when(F.col("id") < 4000, "age").otherwise("era").alias("rank"), F.lit(1.0).alias("t_age"), F.lit(2.0).alias("b_age"))
+    first = graph.within(many).limit(1)
+    assert len(first.collect()) == 1
+    rows = made(first._jdf.queryExecution().executedPlan())
+    assert len(rows) == 2 and 0 < max(rows) < graph.CELLS * 2 * graph.CHUNK  # a list for each task, not a child list by all names of a cell
+
+
 def test_intervals_of_any_shape(spark):
     rng = random.Random(5)
     ranks = ["age", "epoch", "period", "era", "eon", "stage", None]
